@@ -192,7 +192,7 @@ TEXT_PLAN = balance.SplitPlan(token_tolerance=0.10, min_sites=(0, 20, 40), audit
 
 
 def text_sites(spark, sf):
-    return full(spark, sf).deduped.select(F.expr("cast(substr(accession, 2) as bigint)").alias("uniprot_id"), F.col("type").alias("type_pooled"), "crosstalk")
+    return full(spark, sf).deduped.select(F.expr("try_cast(substr(accession, 2) as bigint)").alias("uniprot_id"), F.col("type").alias("type_pooled"), "crosstalk")
 
 
 @query("g4_split_with_audit")
