@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sitelake.functions import dims
 
@@ -137,7 +138,7 @@ def header_row(frame: DataFrame, must_contain: list[str], order: str, max_scan_r
     return frame.where(F.col(order) > first[0][order]).select(*[F.col(c).alias(n) for c, n in zip(cells, names)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_cp1252(raw: pd.Series) -> pd.Series:
     def one(value):
         try:
