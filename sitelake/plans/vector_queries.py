@@ -401,3 +401,11 @@ def e9(spark, sf):
     rows = I.vectors(spark, sf).select("pid", "position").withColumn("batch", F.expr("(pid * 20 + position - 1) div 64"))
     total = I.vectors(spark, sf).count()
     return V.strided_sample(rows, total, 64, 3).select("batch", "pid", "position")
+
+
+@query("h25_feature_extraction", "select pid, length as n_vectors from o_seq where pid not in (select vec_id // 20 from embeddings)")
+def h25(spark, sf):
+    from sitelake.operators.extraction import extract, hashed_kmers
+
+    vectors = extract(I.sequences(spark, sf), hashed_kmers(), committed=I.vectors(spark, sf))
+    return vectors.groupBy("pid").agg(F.count("vec").alias("n_vectors"))
