@@ -30,15 +30,15 @@ def strip_isoforms(sites: DataFrame, corpus: DataFrame) -> DataFrame:
         corpus.select(base.alias("base"), F.col("accession").alias("name"), length.cast("bigint").alias("len"))
         .groupBy("base").agg(F.map_from_entries(F.collect_list(F.struct("name", "len"))).alias("known"))
     )
-    stem = exprs.isoform_stem("accession")
     full = F.try_element_at("known", F.col("accession"))
-    via_stem = F.when(stem.isNotNull() & full.isNull(), F.try_element_at("known", stem))
+    via_stem = F.when((F.col("base") != F.col("accession")) & full.isNull(), F.try_element_at("known", F.col("base")))
+    # the base is a join key, so the pattern runs once per row; nothing below evaluates it again
     return (
         sites.withColumn("base", base)
         .join(known, "base", "left")
-        .withColumn("from_isoform_accession", via_stem.isNotNull())
         .withColumn("seq_length", F.coalesce(full, via_stem))
-        .withColumn("accession", F.when(F.col("from_isoform_accession"), stem).otherwise(F.col("accession")))
+        .withColumn("from_isoform_accession", via_stem.isNotNull())
+        .withColumn("accession", F.when(F.col("from_isoform_accession"), F.col("base")).otherwise(F.col("accession")))
         .drop("base", "known")
     )
 
