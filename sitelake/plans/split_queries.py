@@ -188,7 +188,7 @@ def g5(spark, sf):
     return balance.balanced_split(balance.cluster_features(*split_inputs(spark, sf), TWO_WAY), TWO_WAY)
 
 
-TEXT_PLAN = balance.SplitPlan(token_tolerance=0.10, min_sites=(0, 20, 40), audit_passes=4)
+TEXT_PLAN = balance.SplitPlan(token_tolerance=0.10, min_sites=(0, 20, 40), audit_passes=2)
 
 
 def text_sites(spark, sf):
