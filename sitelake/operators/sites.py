@@ -66,7 +66,7 @@ def attach_residue(sites: DataFrame, corpus: DataFrame) -> DataFrame:
     letter = F.expr(f"cast(substring(piece, cast((position - 1) % {CHUNK} as int) + 1, 1) as string)")
     return (
         sites.withColumn("chunk", F.expr(f"(position - 1) div {CHUNK}"))
-        .join(sequence_chunks(corpus), ["accession", "chunk"], "left")
+        .join(sequence_chunks(corpus).hint("merge"), ["accession", "chunk"], "left")  # the planner underrates exploded pieces
         .withColumn("residue", F.when(inside, letter))
         .drop("chunk", "piece")
     )
