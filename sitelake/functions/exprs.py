@@ -71,8 +71,10 @@ def isoform_stem(accession) -> Column:
 
 
 def count_letters(sequence, letters: str) -> Column:
+    """Occurrences of any of the letters, by string length differences."""
     seq = col(sequence)
-    return (F.length(seq) - F.length(F.translate(seq, letters, ""))).cast("bigint")
+    per_letter = [F.length(seq) - F.length(F.replace(seq, F.lit(letter), F.lit(""))) for letter in letters]
+    return reduce(lambda a, b: a + b, per_letter).cast("bigint")
 
 
 def dot(left, right) -> Column:

@@ -13,10 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Use all cores where the input has fewer splits than the session has slots; large inputs stay as read."""
+    slots = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(slots) if frame.rdd.getNumPartitions() < slots else frame
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
         .select(F.col("doc_id").alias("pid"), F.concat(F.lit("P"), F.col("doc_id").cast("string")).alias("accession"),
                 letters.alias("sequence"), "source", "lang")
         .where("length(sequence) > 0")
