@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,21 @@ def build_session(app: str = "sitelake", cores: int | None = None) -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SITELAKE_DRIVER_MEMORY", "12g"))
     )
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers, once per session; Python functions that run there import it."""
+    context = spark.sparkContext
+    if not getattr(context, "_sitelake_shipped", False):
+        home = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="spark-ship-")) / "sitelake.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(home.rglob("*.py")):
+                out.write(path, path.relative_to(home.parent))
+        context.addPyFile(str(archive))
+        context._sitelake_shipped = True
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
