@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-from sitelake.llm import exact_dedup, mixing, url_filter
+from pyspark.sql import DataFrame, SparkSession
+
+from sitelake.llm import ann, exact_dedup, language_id, license_scan, mixing, near_dedup, packing, token_counts, url_filter, warc
 from sitelake.llm.common import table
 
+
+def _over(name: str, operator):
+    def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(table(spark, sf_dir, name))
+
+    return plan
+
+
 PLANS = {
-    "op2_source_mixing": lambda spark, sf_dir: mixing.mix(table(spark, sf_dir, "documents")),
+    "op1_token_counts": _over("documents", token_counts.token_counts),
+    "op2_source_mixing": _over("documents", mixing.mix),
+    "op3_nearest": _over("embeddings", lambda rows: ann.nearest(rows, "vec_id % 50 = 0")),
+    "op4_packing": _over("documents", packing.pack),
+    "op5_warc": _over("pages", warc.round_trip),
+    "op6_license_scan": _over("documents", license_scan.scan),
     "op7_url_filter": url_filter.blocked_pages,
-    "op9_exact_dedup": lambda spark, sf_dir: exact_dedup.dedup_once(table(spark, sf_dir, "documents")),
+    "op8_near_dedup": _over("documents", lambda docs: near_dedup.near_classes(docs).drop("print")),
+    "op9_exact_dedup": _over("documents", exact_dedup.dedup_once),
+    "op10_language_id": _over("documents", language_id.identify),
 }
 
+# The others tokenize, learn, sample or search; tests/llm holds them against brute force.
 ORACLES = {
     "op2_source_mixing": mixing.SQL,
+    "op5_warc": warc.SQL,
     "op7_url_filter": url_filter.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
