@@ -31,7 +31,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, l
     filled = ranked.selectExpr(
         "*", f"coalesce(sum(most) {order}, 0D) as full_sum", f"coalesce(sum(weight) {order}, 0D) as full_weight",
         "sum(weight) over () as all_weight", f"{float(share)}D * sum(source_size) over () as goal")
-    level = F.expr("min(case when (goal - full_sum) / (all_weight - full_weight) <= most / weight then (goal - full_sum) / (all_weight - full_weight) end) over ()")
+    level = F.expr("max(case when (goal - full_sum) / (all_weight - full_weight) <= most / weight then (goal - full_sum) / (all_weight - full_weight) end) over ()")
     return filled.withColumn("level", level).selectExpr("source", "source_size", "case when level is null then most else least(most, level * weight) end as target")
 
 
@@ -95,7 +95,7 @@ w as (select *, 2::double * source_size as most, case place when 0 then 5::doubl
 f as (select *, coalesce(sum(most) over o, 0) as full_sum, coalesce(sum(weight) over o, 0) as full_weight,
         sum(weight) over () as all_weight, 1.5::double * sum(source_size) over () as goal from w
       window o as (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding)),
-l as (select *, min(case when (goal - full_sum) / (all_weight - full_weight) <= most / weight then (goal - full_sum) / (all_weight - full_weight) end) over () as level from f),
+l as (select *, max(case when (goal - full_sum) / (all_weight - full_weight) <= most / weight then (goal - full_sum) / (all_weight - full_weight) end) over () as level from f),
 t as (select source, source_size, case when level is null then most else least(most, level * weight) end as target,
         ('0x' || substr(md5(coalesce(source, '') || '#17'), 1, 4))::bigint::double / 65536 as u from l),
 k as (select s.doc_id, s.source, s.size, t.source_size, t.target, t.u, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate,
