@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelake.llm import text as tx
-from sitelake.llm.common import stored
+from sitelake.llm.common import shared_folder, stored, width
 from sitelake.operators.components import components
 
 
@@ -207,7 +208,7 @@ def weighted_jaccard(h: np.ndarray, w: np.ndarray, other: np.ndarray, v: np.ndar
     at = np.minimum(np.searchsorted(h, other), len(h) - 1)
     both = h[at] == other
     least = float(np.minimum(w[at[both]], v[both]).sum(dtype=np.float64))
-    return least / (float(w.sum(dtype=np.float64)) + float(v.sum(dtype=np.float64)) - least)
+    return least / (float(w.sum(dtype=np.float64)) + float(v.sum(dtype=np.float64)) - least) + 1e-9
 
 
 def _verify(s: Similarity):
@@ -228,34 +229,108 @@ def verified(pairs: DataFrame, vectors: DataFrame, s: Similarity) -> DataFrame:
     """The pairs (leader, member) that are similar. A leader's members come in pieces of about ``pairs_per_task``, each with one copy of the leader's shingles."""
     pieces = pairs.groupBy("leader").agg(F.ceil(F.count("*") / s.pairs_per_task).cast("int").alias("pieces"))
     dealt = pairs.join(pieces, "leader").withColumn("piece", F.expr("cast(pmod(xxhash64(member), pieces) as int)"))
-    shingles = lambda node: vectors.select(F.col("node").alias(node), F.col("shingles").alias(f"{node}_shingles"), F.col("weights").alias(f"{node}_weights"))
-    members = dealt.select("leader", "piece", "member").join(shingles("member"), "member")
-    leaders = pieces.select(F.col("leader").alias("of"), F.explode(F.expr("sequence(0, pieces - 1)")).alias("part")).join(shingles("of"), "of")
+    members = dealt.select("leader", "piece", "member").join(_shingles(vectors, "member"), "member")
+    leaders = pieces.select(F.col("leader").alias("of"), F.explode(F.expr("sequence(0, pieces - 1)")).alias("part")).join(_shingles(vectors, "of"), "of")
     return members.groupBy("leader", "piece").cogroup(leaders.groupBy("of", "part")).applyInArrow(_verify(s), "a bigint, b bigint")
 
 
+def _features(owner: np.ndarray, h: np.ndarray, w: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, sums) with which the sum of smaller weights of two rows is the product of their matrix rows: a shingle has a column for
+    each of its different weights, worth the square root of the step from the weight below, and a row has all columns up to its own weight."""
+    order = np.lexsort((w, h))
+    owner, h, w = owner[order], h[order], w[order].astype(np.float64)
+    new_shingle = np.concatenate([[True], h[1:] != h[:-1]])
+    new = new_shingle | np.concatenate([[True], w[1:] != w[:-1]])
+    first = np.flatnonzero(new)
+    column, worth = np.cumsum(new) - 1, w[first].copy()
+    later = np.flatnonzero(~new_shingle[first])
+    worth[later] -= w[first[later - 1]]
+    out = np.zeros((rows, len(first)))
+    out[owner, column] = 1
+    for c in later[::-1]:  # a weight includes the weights below it
+        out[:, c - 1] = np.maximum(out[:, c - 1], out[:, c])
+    return out * np.sqrt(worth), np.bincount(owner, weights=w, minlength=rows)
+
+
+def similar(texts: list[tuple[np.ndarray, np.ndarray]], rows: int, least: float) -> np.ndarray:
+    """Whether each of the first ``rows`` (hashes, weights) is similar to each of the others, as a table of booleans."""
+    owner = np.repeat(np.arange(len(texts)), [len(h) for h, _ in texts])
+    table, sums = _features(owner, np.concatenate([h for h, _ in texts]), np.concatenate([w for _, w in texts]), len(texts))
+    both = table[:rows] @ table[rows:].T
+    return both >= least * (sums[:rows, None] + sums[None, rows:] - both) - 1e-9
+
+
+def _settle(s: Similarity):
+    """Links between the texts of two blocks that are in different components; as many as join them, not all."""
+
+    def run(few: pa.Table, many: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        read = lambda t, c, kind: [np.frombuffer(x, dtype=kind) for x in t[c].to_pylist()]
+        block = lambda t, n: list(zip(read(t, f"{n}_shingles", np.uint64), read(t, f"{n}_weights", np.float32)))
+        if few.num_rows and many.num_rows:
+            left, nodes, parts, own = block(few, "node"), few["node"].to_pylist(), few["part"].to_pylist(), many["other"].to_pylist()
+            right, theirs = block(many, "other"), many["other_part"].to_pylist()
+            root = {p: p for p in {*parts, *theirs}}
+
+            def find(p):
+                while root[p] != p:
+                    p = root[p] = root[root[p]]
+                return p
+
+            for a in range(0, len(left), 64):
+                for b in range(0, len(right), 256):
+                    table = similar(left[a : a + 64] + right[b : b + 256], len(left[a : a + 64]), s.least)
+                    for i, j in zip(*np.nonzero(table)):
+                        x, y = find(parts[a + i]), find(theirs[b + j])
+                        if x != y:
+                            root[x] = y
+                            links.append((nodes[a + i], own[b + j]))
+        return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    return run
+
+
+def _by_node(vectors: DataFrame) -> DataFrame:
+    """The vectors as a table bucketed by node in the shared folder: joins on the node move only the other side."""
+    spark, buckets = vectors.sparkSession, width(vectors.sparkSession)
+    name = f"near_vectors_{uuid.uuid4().hex}"
+    vectors.repartition(buckets, "node").write.bucketBy(buckets, "node").option("path", shared_folder(spark, "near-vectors")).saveAsTable(name)
+    return spark.table(name).hint("merge")
+
+
+def _shingles(vectors: DataFrame, node: str) -> DataFrame:
+    return vectors.select(F.col("node").alias(node), F.col("shingles").alias(f"{node}_shingles"), F.col("weights").alias(f"{node}_weights"))
+
+
 def linked(buckets: DataFrame, vectors: DataFrame, s: Similarity) -> DataFrame | None:
     """(node, root) of the texts connected by similar pairs that share a bucket (bucket, node); None without any.
 
-    Round by round each bucket has leaders, one at first and then four times as many, which are verified against the bucket's texts of other components;
-    then components are taken anew. A leader leaves its bucket, since all its pairs are settled, and a bucket of one component is closed. So
-    every pair of a bucket is verified or already connected, while a bucket of near copies, however large, is a star: one pair a text.
+    First each bucket is a star: its smallest node is verified against the others, one pair a text, and components are taken. That closes nearly
+    all buckets, among them those of near copies, however large. Where a bucket still holds several components, all texts outside its largest one are verified against all
+    texts of other components, in blocks of ``pairs_per_task`` by 2,048 texts; blocks emit the links that join components, not all. So every pair
+    of a bucket is verified or connected, and nothing is skipped.
     """
-    open_, edges, roots, leaders = buckets.withColumn("part", F.col("node")), None, None, 1
-    while True:
-        alive = open_.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-        open_ = stored(open_.join(alive, "bucket"), "near-open")
-        if open_.isEmpty():
-            return roots
-        lead = stored(open_.withColumn("place", F.expr("row_number() over (partition by bucket order by node)")).where(F.col("place") <= leaders).select("bucket", F.col("node").alias("leader"), F.col("part").alias("own")), "near-leaders")
-        pairs = open_.join(lead, "bucket").where("part <> own").select("leader", F.col("node").alias("member"))
-        new = stored(verified(stored(pairs.distinct(), "near-pairs"), vectors, s), "near-links")
-        rest = open_.join(lead.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
-        if not new.isEmpty():
-            edges = new if edges is None else edges.unionByName(new)
-            roots = stored(components(edges), "near-roots")
-            rest = rest.drop("part").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part"))
-        open_, leaders = rest, leaders * 4
+    rooted = lambda roots: buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part"))
+    low = buckets.groupBy("bucket").agg(F.min("node").alias("leader"))
+    pairs = stored(buckets.join(low, "bucket").where("node <> leader").select("leader", F.col("node").alias("member")).distinct(), "near-pairs")
+    stars = stored(verified(pairs, vectors, s), "near-stars")
+    roots = stored(components(stars), "near-roots") if not stars.isEmpty() else None
+    placed = rooted(roots) if roots is not None else buckets.withColumn("part", F.col("node"))
+    rest = placed.join(low.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+    sizes = rest.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    shape = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    shape = stored(shape.selectExpr("bucket", "main.part as main", f"cast(ceil((size - main.n) / {s.pairs_per_task}) as int) as slices", "cast(ceil(size / 2048) as int) as tiles"), "near-open")
+    if shape.isEmpty():
+        return roots
+    open_ = stored(rest.join(shape, "bucket"), "near-rest")
+    shingles = _shingles(vectors, "node")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    few = open_.where("part <> main").select("bucket", slot("slices").alias("slice"), spread("tiles").alias("tile"), "node", "part").join(shingles, "node")
+    many = open_.select(F.col("bucket").alias("of"), spread("slices").alias("of_slice"), slot("tiles").alias("of_tile"), F.col("node").alias("other"), F.col("part").alias("other_part"))
+    many = many.join(_shingles(vectors, "other"), "other")
+    more = stored(few.groupBy("bucket", "slice", "tile").cogroup(many.groupBy("of", "of_slice", "of_tile")).applyInArrow(_settle(s), "a bigint, b bigint"), "near-links")
+    return stored(components(stars.unionByName(more)), "near-roots") if not more.isEmpty() else roots
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Similarity = Similarity()) -> DataFrame:
@@ -279,8 +354,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = banded.groupBy("bucket").count().where("count > 1").select("bucket")
     buckets = stored(banded.join(shared, "bucket").select("bucket", "node"), "near-buckets")
     asked = buckets.select("node").distinct().join(texts.drop("bands"), "node").select("node", "h1", "h2", F.col("doc_id").alias("of"))
-    wanted = source.join(asked, F.expr("doc_id <=> of")).select("node", "h1", "h2", "text")
-    vectors = stored(wanted.mapInArrow(_vectors(s, levels), "node bigint, shingles binary, weights binary").dropDuplicates(["node"]), "near-vectors")
+    wanted = source.hint("merge").join(asked, F.expr("doc_id <=> of")).select("node", "h1", "h2", "text")
+    vectors = _by_node(wanted.mapInArrow(_vectors(s, levels), "node bigint, shingles binary, weights binary").dropDuplicates(["node"]))
     roots = linked(buckets, vectors, s)
     nodes = texts.select("h1", "h2", "node")
     if roots is not None:

@@ -119,3 +119,16 @@ def test_samples_agree_as_often_as_the_similarity():
     order = [np.argsort(h[x]) for x in (a, b)]
     want = near_dedup.weighted_jaccard(h[a][order[0]], weight[a][order[0]], h[b][order[1]], weight[b][order[1]])
     assert abs((keys[0] == keys[1]).mean() - want) < 0.035
+
+
+def test_blocks_equal_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(30):
+        h = np.sort(rng.choice(50, rng.integers(1, 40), replace=False).astype(np.uint64))
+        texts.append((h, rng.choice([1.0, 1.25, 1.5, 2.0, 3.5], len(h)).astype(np.float32)))
+    table = near_dedup.similar(texts, 12, 0.25)
+    want = [[near_dedup.weighted_jaccard(*a, *b) >= 0.25 for b in texts[12:]] for a in texts[:12]]
+    assert table.tolist() == want and 0 < table.sum() < table.size
