@@ -27,11 +27,6 @@ def type_key(value) -> Column:
     return F.replace(text, F.lit(" "), F.lit("-"))
 
 
-def residue_at(sequence, position) -> Column:
-    seq, pos = col(sequence), col(position)
-    return F.when((pos >= 1) & (pos <= F.length(seq)), F.substr(seq, pos.cast("int"), F.lit(1)))
-
-
 def evidence_kept(evidence) -> Column:
     """Holds a keep phrase and no drop phrase. Two alternations, so the text expression is inlined twice at
     most; one test per phrase made the generated method too large for the JIT."""
@@ -77,10 +72,5 @@ def count_letters(sequence, letters: str) -> Column:
     return reduce(lambda a, b: a + b, per_letter).cast("bigint")
 
 
-def dot(left, right) -> Column:
-    product = F.zip_with(col(left), col(right), lambda a, b: a.cast("double") * b.cast("double"))
-    return F.aggregate(product, F.lit(0.0), lambda acc, x: acc + x)
-
-
 def sum_squares(vector) -> Column:
     return F.aggregate(col(vector), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))

@@ -127,8 +127,3 @@ def scalar_history(rows: DataFrame, metrics: list[str]) -> DataFrame:
 def histogram_edges(low, size, count) -> Column:
     """Edges of a packed histogram: low + size * i for i = 0..count."""
     return F.transform(F.sequence(F.lit(0), F.col(count).cast("int")), lambda i: F.col(low) + F.col(size) * i)
-
-
-def rank_runs(rows: DataFrame) -> DataFrame:
-    w = Window.partitionBy("metric").orderBy(F.desc("value"), "run")
-    return rows.withColumn("rank", F.row_number().over(w))

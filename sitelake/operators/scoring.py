@@ -84,13 +84,13 @@ def _encode_blocks(rows, latents, b_dec, scale, top, positive, limit_bytes, tota
         return _codes(vecs, *_matrix(part.to_dict("records")), b_dec, scale, top, positive)
 
     out = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(product, CODE_SCHEMA)
-    return out if top is None else top_per_row(out, top)
+    return out if top is None else top_per_row(out, top, positive)
 
 
-def top_per_row(codes: DataFrame, k: int) -> DataFrame:
-    """The k largest positive values of each row; smaller latent on ties."""
+def top_per_row(codes: DataFrame, k: int, positive: bool = True) -> DataFrame:
+    """The k largest values of each row, of the positive ones unless told otherwise; smaller latent on ties."""
     w = Window.partitionBy(*ROW).orderBy(F.desc("value"), "latent")
-    return codes.where("value > 0").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
+    return (codes.where("value > 0") if positive else codes).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
 def top_per_batch(codes: DataFrame, batch_sizes: DataFrame, k: int) -> DataFrame:

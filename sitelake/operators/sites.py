@@ -100,7 +100,7 @@ def unknown_spellings(sites: DataFrame) -> DataFrame:
 
 def require_known_spellings(sites: DataFrame) -> None:
     """The strict path: any spelling no table knows is an error."""
-    missing = [row["type"] for row in unknown_spellings(sites).orderBy("type").limit(20).collect()]
+    missing = {row["type"]: row["n_rows"] for row in unknown_spellings(sites).orderBy("type").collect()}
     if missing:
         raise ValueError(f"unmapped type spellings: {missing}")
 
@@ -161,9 +161,13 @@ def drop_masked(sites: DataFrame, mask: DataFrame) -> DataFrame:
     return sites.join(mask.select(*SITE_KEY).distinct(), SITE_KEY, "left_anti")
 
 
+# The bit of a source's rank; a rank that has no bit of its own fails the job, since it would be counted as another source.
+SOURCE_BIT = "case when source_rank between 0 and 62 then shiftleft(1L, cast(source_rank as int)) else cast(raise_error(concat('source rank out of 0..62: ', coalesce(cast(source_rank as string), 'null'))) as bigint) end"
+
+
 def source_bits() -> Column:
     """One bit per source rank: distinct sources by OR, with a fixed-width aggregation buffer."""
-    return F.expr("bit_or(shiftleft(1L, cast(source_rank as int)))")
+    return F.expr(f"bit_or({SOURCE_BIT})")
 
 
 def deduplicate(positives: DataFrame, aux: list[str]) -> DataFrame:

@@ -57,7 +57,7 @@ def site_types(traced: DataFrame, ambiguous_sources: list[str], aux: list[str])
     order = F.struct("source_rank", "row_no")
     first = [F.min(F.when(~ambiguous & F.col(c).isNotNull(), F.struct(order.alias("o"), F.col(c).alias("v"))))["v"].alias(c) for c in aux]
     per_type = valid(traced).groupBy(*KEY).agg(
-        F.coalesce(F.bit_or(F.when(~ambiguous, F.expr("shiftleft(1L, cast(source_rank as int))"))), F.lit(0).cast("bigint")).alias("reporting"),
+        F.coalesce(F.bit_or(F.when(~ambiguous, F.expr(sites.SOURCE_BIT))), F.lit(0).cast("bigint")).alias("reporting"),
         F.count_if(~ambiguous).alias("source_row_count"), F.count_if(ambiguous).alias("ambiguous_rows"), *first)
     entries = per_type.groupBy("accession", "position").agg(
         F.collect_list(F.struct("type", "reporting", "source_row_count", "ambiguous_rows", *aux)).alias("entries"))

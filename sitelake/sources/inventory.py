@@ -33,7 +33,7 @@ def reconcile(remote: DataFrame, local: DataFrame, verify: bool = False, force:
 def require_present(remote: DataFrame, available: DataFrame) -> DataFrame:
     """``remote`` has name and optional: absent required files raise, absent optional ones are returned."""
     absent = remote.join(available, "name", "left_anti")
-    required = [r["name"] for r in absent.where("not optional").select("name").orderBy("name").limit(20).collect()]
+    required = [r["name"] for r in absent.where("not optional").select("name").orderBy("name").collect()]
     if required:
         raise FileNotFoundError(f"required files missing: {required}")
     return absent.select("name")

@@ -244,3 +244,35 @@ def test_small_expressions(spark):
         exprs.type_key(F.lit("  N_linked  Glyco ")).alias("k"), exprs.residue_code(F.lit("Z")).alias("z"), exprs.residue_code(F.lit("C")).alias("c"),
         exprs.evidence_kept(F.lit("MS/MS; Probable")).alias("e"), exprs.band_verdict(F.lit(0.95), F.lit(0.85), F.lit(0.95)).alias("v")).first()
     assert tuple(row) == ("n-linked-glyco", 20, 1, False, "pass")
+
+
+def test_split_takes_every_move_whatever_the_batch(spark):
+    """1,000 equal clusters that start in one partition end at the fractions, also if few moves reach the driver at once."""
+    from sitelake.operators import balance
+
+    rows = [(c, f, v) for c in range(1000) for f, v in (("tokens", 10.0), ("proteins", 1.0))]
+    features = spark.createDataFrame(rows, "cluster_id long, feature string, value double")
+    start = spark.range(1000).selectExpr("id as cluster_id", "0 as code")
+    for batch in (40, 20_000):
+        plan = balance.SplitPlan(min_sites=(0, 0, 0), moves_per_round=batch)
+        out = balance.polish(features, start, plan)
+        counts = {r["code"]: r["count"] for r in out.groupBy("code").count().collect()}
+        assert sum(counts.values()) == 1000 and abs(counts[1] - 100) <= 2 and abs(counts[2] - 200) <= 4
+
+
+def test_block_scoring_keeps_values_below_zero_if_asked(spark):
+    from sitelake.operators import scoring
+
+    codes = spark.createDataFrame([(1, 1, 0, -2.0), (1, 1, 1, -1.0)], "pid long, position long, latent long, value double")
+    assert [r["latent"] for r in scoring.top_per_row(codes, 1, positive=False).collect()] == [1]
+    assert scoring.top_per_row(codes, 1).count() == 0
+
+
+def test_source_rank_without_a_bit_fails(spark):
+    import pytest as pt
+
+    from sitelake.operators import sites
+
+    rows = spark.createDataFrame([(1,), (65,)], "source_rank long")
+    with pt.raises(Exception, match="source rank out of 0..62"):
+        rows.agg(sites.source_bits()).collect()
