@@ -17,6 +17,7 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 18  # n-grams are hashed to so many features
 UNKNOWN = "und"
 BLANK = 0x20
+BLOCK = 256  # texts scored by one product
 
 
 @dataclass(frozen=True)
@@ -151,15 +152,16 @@ def _predict(bundle):
         languages, weights = bundle.value
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            found = list(presence(texts))
-            sizes = np.array([len(f) for f in found], dtype=np.int64)
-            scores = np.zeros((len(found), max(len(languages), 1)))
-            some = np.flatnonzero(sizes)
-            if len(languages):
-                for a in range(0, len(some), 256):  # rows of presence times weights, a block of texts at a time
-                    block = some[a : a + 256]
-                    begin = np.cumsum(sizes[block]) - sizes[block]
-                    scores[block] = np.add.reduceat(weights[np.concatenate([found[i] for i in block])], begin, axis=0) / np.sqrt(sizes[block])[:, None]
+            sizes = np.zeros(len(texts), dtype=np.int64)
+            scores = np.zeros((len(texts), max(len(languages), 1)))
+            for a in range(0, len(texts), BLOCK):  # rows of presence times weights, a block of texts at a time
+                found = list(presence(texts[a : a + BLOCK]))
+                sizes[a : a + BLOCK] = [len(f) for f in found]
+                some = np.flatnonzero(sizes[a : a + BLOCK])
+                if len(languages) and len(some):
+                    own = sizes[a + some]
+                    rows = weights[np.concatenate([found[i] for i in some])]
+                    scores[a + some] = np.add.reduceat(rows, np.cumsum(own) - own, axis=0) / np.sqrt(own)[:, None]
             best = scores.argmax(axis=1)
             known = (sizes > 0) & bool(languages)
             names = [languages[b] if k else UNKNOWN for b, k in zip(best, known)]

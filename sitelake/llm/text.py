@@ -13,7 +13,7 @@ import numpy as np
 END = 0x110000
 LETTER, NUMBER, SPACE, OTHER, LAST = range(5)
 # Texts worked on at once; a longer single text is worked on alone and whole.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 @cache

@@ -18,7 +18,7 @@ import pandas as pd
 from sitelake.llm import text as tx
 
 # Words kept per worker; beyond it the memory is begun anew (ids stay the same).
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 SPECIAL = "<|endoftext|>"
 APOSTROPHE = 0x27
 # Ranges in which letters, numbers and blanks are the same in all Unicode tables of the last twenty years.
