@@ -32,10 +32,11 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metric_rows(lines: DataFrame) -> DataFrame:
-    """Unpivot (…, value = JSON text) into one row per numeric key."""
+    """Unpivot (…, value = JSON text) into one row per key with a JSON number; quoted numbers are text and skipped."""
     keep = [c for c in lines.columns if c not in ("value", "block")]
-    parsed = lines.select(*keep, F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"}).alias("m")).where("m is not null")
-    return parsed.select(*keep, F.explode("m").alias("metric", "text")).select(*keep, "metric", F.expr("try_cast(text as double)").alias("value")).where("value is not null")
+    parsed = lines.select(*keep, F.from_json("value", "map<string,variant>", {"mode": "PERMISSIVE"}).alias("m")).where("m is not null")
+    numeric = "regexp_like(schema_of_variant(v), '^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$')"
+    return parsed.select(*keep, F.explode("m").alias("metric", "v")).where(numeric).select(*keep, "metric", F.expr("try_variant_get(v, '$', 'double')").alias("value")).where("value is not null")
 
 
 def last_values(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -70,13 +71,15 @@ def verdicts(last: DataFrame, checks: DataFrame, architectures: DataFrame) -> Da
     return rows.where(applies).select("run", "label", exprs.rounded("value").alias("value"), band_text().alias("target"), exprs.band_verdict("value", "low", "high").alias("status"))
 
 
-# fixed values: limits of the recommendation rules
+# fixed values: limits of the recommendation rules, and the architecture they are about
+RULES_FOR = "jumprelu"
 FROZEN_THRESHOLD, NORM_DRIFT, DENSE_SHARE, COLLAPSED_SHARE, VARIANCE_FLOOR = 3.5e-4, 0.05, 0.5, 0.001, 0.90
 
 
 def recommendations(finals: DataFrame) -> DataFrame:
-    """Rules that fire per run. ``finals``: run, d_hidden, l0, threshold_std_max, decoder_norm, explained_variance
-    (the last two may be NULL). A run that matches no rule gets one row saying so."""
+    """Rules that fire per run. ``finals``: run, architecture, d_hidden, l0, threshold_std_max, decoder_norm, explained_variance
+    (the last two may be NULL). The rules are about threshold networks (``RULES_FOR``): a run of another or unknown architecture
+    gets one row saying that it has no rules, and a run that matches none gets one row saying so."""
     share = F.col("l0") / F.col("d_hidden")
     rules = [
         ("threshold_frozen", F.col("threshold_std_max") < FROZEN_THRESHOLD, "threshold spread never left its initial range",
@@ -89,8 +92,11 @@ def recommendations(finals: DataFrame) -> DataFrame:
     ]
     fired = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(
         F.lit(name).alias("rule"), F.lit(why).alias("diagnosis"), F.lit(what).alias("change"))) for name, cond, why, what in rules]))
-    nothing = F.array(F.struct(F.lit("no_known_signature").alias("rule"), F.lit("the run may be healthy").alias("diagnosis"), F.lit("look again at why it was flagged").alias("change")))
-    return finals.withColumn("fired", fired).select("run", F.inline(F.when(F.size("fired") > 0, F.col("fired")).otherwise(nothing)))
+    row = lambda *texts: F.array(F.struct(*[F.lit(t).alias(n) for t, n in zip(texts, ("rule", "diagnosis", "change"))]))
+    covered = F.coalesce(F.col("architecture") == RULES_FOR, F.lit(False))
+    chosen = F.when(~covered, row("no_rules_for_architecture", "", "")).when(F.size("fired") > 0, F.col("fired")).otherwise(
+        row("no_known_signature", "the run may be healthy", "look again at why it was flagged"))
+    return finals.withColumn("fired", fired).select("run", F.inline(chosen))
 
 
 def comparison(last: DataFrame, runs: DataFrame, metrics: list[str]) -> DataFrame:

@@ -181,33 +181,39 @@ def residue_tiers(residues: DataFrame, labels: DataFrame, mask: DataFrame, gold:
 
 def concentration_by_stratum(codes: DataFrame, tiers: DataFrame, min_active: int = 20) -> DataFrame:
     """Per stratum: mean over active latents of (modified share when active / base rate), latents over 2x, and
-    the same for latents with enough active residues."""
+    the same for latents with enough active residues. Every stratum has a row; one that is silent or has no
+    modified residue has zeros besides its active latents."""
     mod = F.col("types").isNotNull()
     base = tiers.groupBy("stratum").agg(F.count("*").alias("total"), F.count_if(mod).alias("modified"))
     hits = codes.join(tiers, ROW).groupBy("stratum", "latent").agg(F.count("*").alias("active"), F.count_if(mod).alias("hit"))
-    ratio = F.when(F.col("modified") > 0, (F.col("hit") / F.col("active")) / (F.col("modified") / F.col("total"))).otherwise(0.0)
-    rows = hits.join(base, "stratum").withColumn("ratio", ratio).withColumn("ok", F.col("active") >= min_active)
+    ratio = F.when(F.col("modified") > 0, (F.col("hit") / F.col("active")) / (F.col("modified") / F.col("total")))
+    rows = base.join(hits, "stratum", "left").withColumn("ratio", ratio).withColumn("ok", ratio.isNotNull() & (F.col("active") >= min_active))
+    over, zero = F.col("ratio") > 2, F.lit(0.0)
     return rows.groupBy("stratum").agg(
-        F.count("*").alias("active_latents"), r(F.avg("ratio")).alias("mean_ratio"), F.count_if(F.col("ratio") > 2).alias("over_2x"),
-        F.count_if("ok").alias("supported"), r(F.coalesce(F.avg(F.when(F.col("ok"), F.col("ratio"))), F.lit(0.0))).alias("supported_mean_ratio"),
-        F.count_if(F.col("ok") & (F.col("ratio") > 2)).alias("supported_over_2x"))
+        F.count("latent").alias("active_latents"), r(F.coalesce(F.avg("ratio"), zero)).alias("mean_ratio"), F.count_if(over).alias("over_2x"),
+        F.count_if("ok").alias("supported"), r(F.coalesce(F.avg(F.when(F.col("ok"), F.col("ratio"))), zero)).alias("supported_mean_ratio"),
+        r(F.coalesce(F.avg(F.when(F.col("ok"), over.cast("double"))), zero)).alias("supported_share_over_2x"))
 
 
 def concentration_by_type(codes: DataFrame, tiers: DataFrame, min_active: int = 20, min_hits: int = 3) -> DataFrame:
-    """Per (stratum, type): best ratio over latents against the whole stratum, and how many come near it.
-    A residue with several types counts once for each."""
+    """Per (stratum, type): mean ratio over the latents active in the stratum, latents over 2x, the best ratio, how many
+    come near it, and latents with enough active residues and hits (``min_hits`` is 1 at least). A residue with several
+    types counts once for each; a pair that no latent meets has zeros."""
     typed = tiers.select(*ROW, "stratum", F.explode("types").alias("type"))
     strata = tiers.groupBy("stratum").agg(F.count("*").alias("total"))
-    type_base = typed.groupBy("stratum", "type").agg(F.count("*").alias("positives"))
+    pairs = typed.groupBy("stratum", "type").agg(F.count("*").alias("positives")).join(strata, "stratum")
     active = codes.join(tiers.select(*ROW, "stratum"), ROW).groupBy("stratum", "latent").agg(F.count("*").alias("active"))
-    hits = codes.join(typed, ROW).groupBy("stratum", "type", "latent").agg(F.count("*").alias("hit"))
-    rows = hits.join(active, ["stratum", "latent"]).join(type_base, ["stratum", "type"]).join(strata, "stratum").withColumn(
+    n_active = active.groupBy("stratum").agg(F.count("*").alias("n_active"))
+    hits = codes.join(typed, ROW).groupBy("stratum", "type", "latent").agg(F.count("*").alias("hit")).join(active, ["stratum", "latent"])
+    rows = pairs.join(n_active, "stratum", "left").join(hits, ["stratum", "type"], "left").withColumn(
         "ratio", (F.col("hit") / F.col("active")) / (F.col("positives") / F.col("total")))
     best = rows.groupBy("stratum", "type").agg(F.max("ratio").alias("best"))
     supported = (F.col("active") >= min_active) & (F.col("hit") >= min_hits)
+    or_zero = lambda c: r(F.coalesce(c, F.lit(0.0)))
     return rows.join(best, ["stratum", "type"]).groupBy("stratum", "type").agg(
-        r(F.max("ratio")).alias("best_ratio"), F.count_if(F.col("ratio") > 0.8 * F.col("best")).alias("near_best"),
-        r(F.coalesce(F.max(F.when(supported, F.col("ratio"))), F.lit(0.0))).alias("supported_best_ratio"))
+        or_zero(F.sum("ratio") / F.max("n_active")).alias("mean_ratio"), F.count_if(F.col("ratio") > 2).alias("over_2x"),
+        or_zero(F.max("ratio")).alias("best_ratio"), F.count_if(F.col("ratio") > 0.8 * F.col("best")).alias("near_best"),
+        F.count_if(supported).alias("supported"), or_zero(F.max(F.when(supported, F.col("ratio")))).alias("supported_best_ratio"))
 
 
 def shortcut_suspects(codes: DataFrame, tiers: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def a16(spark, sf):
     """The log as JSON lines: one numeric key per event type, one from its properties, text that is skipped."""
     rows = I.table(spark, sf, "events").select(
         (F.col("user_id") % 8).alias("run"), F.col("event_id").alias("line_no"),
-        F.concat(F.lit('{"'), "event_type", F.lit('": '), F.col("value").cast("string"), F.lit(', "note": "text", '), F.expr("substr(props, 2)")).alias("value"))
+        F.concat(F.lit('{"'), "event_type", F.lit('": '), F.col("value").cast("string"), F.lit(', "note": "text", "count": "12", '), F.expr("substr(props, 2)")).alias("value"))
     return runlog.last_values(runlog.metric_rows(rows), ["run", "metric"], "line_no")
 
 
@@ -133,14 +133,22 @@ define("o_finals", """select run, 64e0 as d_hidden, max(value) filter (where met
     max(value) filter (where metric = 'view') / 30 as decoder_norm, max(value) filter (where metric = 'error') / 50 as explained_variance from o_last l group by run""")
 
 
-@query("r2_recommendations", """with f as (select run, unnest([case when threshold_std_max < 3.5e-4 then 'threshold_frozen' end, case when abs(decoder_norm - 1) < 0.05 then 'decoder_norm_static' end,
-      case when l0 / d_hidden > 0.5 then 'dense_code' end, case when l0 / d_hidden < 0.001 then 'collapsed_code' end, case when explained_variance < 0.9 then 'variance_below_floor' end]) as rule from o_finals)
-    select run, rule from f where rule is not null union all select run, 'no_known_signature' from o_finals where run not in (select run from f where rule is not null)""")
+@query("r2_recommendations", """with texts as (select * from (values ('threshold_frozen', 'threshold spread never left its initial range', 'widen the bandwidth or raise the sparsity coefficient'),
+      ('decoder_norm_static', 'decoder norms barely moved from 1', 'raise the sparsity coefficient and keep the norm constraint off'),
+      ('dense_code', 'most latents fire on every token', 'raise the sparsity coefficient substantially'), ('collapsed_code', 'almost no latent fires', 'lower the sparsity coefficient'),
+      ('variance_below_floor', 'reconstruction failed on its own', 'lower the sparsity coefficient or check the learning rate'),
+      ('no_known_signature', 'the run may be healthy', 'look again at why it was flagged'), ('no_rules_for_architecture', '', '')) t(rule, diagnosis, change)),
+    jump as (select * from o_finals where run % 2 = 1),
+    f as (select run, unnest([case when threshold_std_max < 3.5e-4 then 'threshold_frozen' end, case when abs(decoder_norm - 1) < 0.05 then 'decoder_norm_static' end,
+      case when l0 / d_hidden > 0.5 then 'dense_code' end, case when l0 / d_hidden < 0.001 then 'collapsed_code' end, case when explained_variance < 0.9 then 'variance_below_floor' end]) as rule from jump),
+    g as (select run, rule from f where rule is not null union all select run, 'no_known_signature' from jump where run not in (select run from f where rule is not null)
+      union all select run, 'no_rules_for_architecture' from o_finals where run % 2 = 0)
+    select g.run, g.rule, t.diagnosis, t.change from g join texts t on t.rule = g.rule""")
 def r2(spark, sf):
     log = I.run_log(spark, sf)
     wide = runlog.comparison(runlog.last_values(log, ["run", "metric"], "step"), log.groupBy("run").agg((F.min("value") / 100).alias("threshold_std_max")), ["click", "view", "error"])
     finals = wide.select("run", F.lit(64.0).alias("d_hidden"), F.col("click").alias("l0"), "threshold_std_max", (F.col("view") / 30).alias("decoder_norm"), (F.col("error") / 50).alias("explained_variance"))
-    return runlog.recommendations(finals).select("run", "rule")
+    return runlog.recommendations(finals.join(architectures(spark, sf), "run"))
 
 
 @query("r3_run_comparison", """select run, count(*) as n_steps, (select value from o_last l where l.run = o.run and metric = 'click') as click, (select value from o_last l where l.run = o.run and metric = 'view') as view

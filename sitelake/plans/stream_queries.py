@@ -89,7 +89,7 @@ FOLD = """with recursive v as (select batch, avg(m) as v, row_number() over (ord
 @query("t8_running_threshold", FOLD.format(rows="select batch, event_id, min(value) as m from o_fire where value > 0 group by all", t=r("t")))
 def t8(spark, sf):
     rows = firing(spark, sf).select("batch", F.col("event_id").alias("row"), "value")
-    return folded(spark, rows, folds.threshold_merge(0.99)).select(exprs.rounded("threshold").alias("threshold"), "batches")
+    return folds.threshold_report(folded(spark, rows, folds.threshold_merge(0.99)), 0.99).select(exprs.rounded("threshold").alias("threshold"), "batches")
 
 
 @query("t8_threshold_batch", FOLD.format(rows="select pid as batch, vec_id, min(value) as m from o_top where value > 0 group by all", t=r("t")))

@@ -223,9 +223,11 @@ def tiers_with_codes(spark, sf):
 
 @query("h16_concentration_by_stratum", f"""with b as (select stratum, count(*) as total, count(types) as modified from o_ta group by stratum),
     h as (select stratum, latent, count(*) as active, count(types) as hit from o_tc group by all),
-    x as (select h.*, case when modified > 0 then (hit / active::double) / (modified / total::double) else 0 end as ratio from h join b on h.stratum = b.stratum)
-    select stratum, count(*) as active_latents, {r('avg(ratio)')} as mean_ratio, count(*) filter (where ratio > 2) as over_2x, count(*) filter (where active >= 5) as supported,
-      {r('coalesce(avg(ratio) filter (where active >= 5), 0)')} as supported_mean_ratio, count(*) filter (where active >= 5 and ratio > 2) as supported_over_2x from x group by stratum""")
+    x as (select b.stratum, h.latent, h.active, case when modified > 0 then (hit / active::double) / (modified / total::double) end as ratio from b left join h on h.stratum = b.stratum)
+    select stratum, count(latent) as active_latents, {r('coalesce(avg(ratio), 0)')} as mean_ratio, count(*) filter (where ratio > 2) as over_2x,
+      count(*) filter (where active >= 5 and ratio is not null) as supported, {r('coalesce(avg(ratio) filter (where active >= 5), 0)')} as supported_mean_ratio,
+      {r('coalesce(count(*) filter (where active >= 5 and ratio > 2) / nullif(count(*) filter (where active >= 5 and ratio is not null), 0)::double, 0)')} as supported_share_over_2x
+    from x group by stratum""")
 def h16(spark, sf):
     return T.concentration_by_stratum(*tiers_with_codes(spark, sf), min_active=5)
 
@@ -233,10 +235,11 @@ def h16(spark, sf):
 @query("h17_concentration_by_type", f"""with ty as (select *, unnest(types) as type from o_ta), tc as (select *, unnest(types) as type from o_tc),
     s as (select stratum, count(*) as total from o_ta group by stratum), p as (select stratum, type, count(*) as positives from ty group by all),
     a as (select stratum, latent, count(*) as active from o_tc group by all), h as (select stratum, type, latent, count(*) as hit from tc group by all),
-    x as (select h.*, a.active, (hit / active::double) / (positives / total::double) as ratio from h join a on h.stratum = a.stratum and h.latent = a.latent
-      join p on p.stratum = h.stratum and p.type = h.type join s on s.stratum = h.stratum),
+    x as (select p.stratum, p.type, a.latent, a.active, coalesce(h.hit, 0) as hit, coalesce(h.hit, 0) / a.active::double / (positives / total::double) as ratio
+      from p join s on s.stratum = p.stratum left join a on a.stratum = p.stratum left join h on h.stratum = p.stratum and h.type = p.type and h.latent = a.latent),
     y as (select *, max(ratio) over (partition by stratum, type) as best from x)
-    select stratum, type, {r('max(ratio)')} as best_ratio, count(*) filter (where ratio > 0.8e0 * best) as near_best,
+    select stratum, type, {r('coalesce(avg(ratio), 0)')} as mean_ratio, count(*) filter (where ratio > 2) as over_2x, {r('coalesce(max(ratio), 0)')} as best_ratio,
+      count(*) filter (where best > 0 and ratio > 0.8e0 * best) as near_best, count(*) filter (where active >= 5 and hit >= 2) as supported,
       {r('coalesce(max(ratio) filter (where active >= 5 and hit >= 2), 0)')} as supported_best_ratio from y group by stratum, type""")
 def h17(spark, sf):
     return T.concentration_by_type(*tiers_with_codes(spark, sf), min_active=5, min_hits=2)

@@ -84,18 +84,20 @@ def top_k_merge(k: int, key: str, order: list, keep: list[str]) -> Merge:
 
 
 def census_merge(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Tokens seen and, per latent, tokens seen at the end of the last batch it fired in. Batches come in order;
-    the running count starts from the state, so it holds one row per latent plus one for the total."""
+    """Tokens seen and, per latent, the last batch it fired in and the tokens seen at the end of that batch. Batches come in
+    order, but a micro-batch may end inside one: when it goes on, its end moves for the latents that fired in it.
+    The state holds one row per latent plus one for the total."""
     from sitelake.operators.statistics import running_total
 
-    ends = running_total(batch.groupBy("batch").agg(F.count("*").alias("tokens")), "batch", "tokens", "batch_end")
+    ends = running_total(batch.groupBy("batch").agg(F.count("*").alias("tokens")), "batch", "tokens", "batch_end").select(F.col("batch").alias("last_batch"), "batch_end")
     seen = F.lit(0).cast("bigint") if state is None else state.where("latent is null").select("last_end").scalar()
-    last = batch.groupBy("latent").agg(F.max(F.when(F.col("fired"), F.col("batch"))).alias("batch"))
-    new = last.join(ends, "batch", "left").select("latent", (F.col("batch_end") + seen).alias("last_end"))
-    total = batch.agg((F.count("*") + seen).alias("last_end")).select(F.lit(None).cast("bigint").alias("latent"), "last_end")
-    rows = new.unionByName(total)
-    rows = rows if state is None else state.unionByName(rows)
-    return rows.groupBy("latent").agg(F.max("last_end").alias("last_end"))
+    none = F.lit(None).cast("bigint")
+    rows = batch.groupBy("latent").agg(F.max(F.when(F.col("fired"), F.col("batch"))).alias("last_batch")).withColumn("last_end", none)
+    rows = rows if state is None else state.where("latent is not null").unionByName(rows)
+    last = rows.groupBy("latent").agg(F.max("last_batch").alias("last_batch"), F.max("last_end").alias("last_end"))
+    moved = last.join(ends, "last_batch", "left").select("latent", "last_batch", F.coalesce(F.col("batch_end") + seen, "last_end").alias("last_end"))
+    total = batch.agg((F.count("*") + seen).alias("last_end")).select(none.alias("latent"), none.alias("last_batch"), "last_end")
+    return moved.unionByName(total)
 
 
 def census_report(state: DataFrame, window: int) -> DataFrame:
@@ -122,23 +124,37 @@ def running_threshold(values: DataFrame, decay: float) -> DataFrame:
     return placed.agg(F.sum(F.col("v") * weight).alias("threshold"), F.count("*").alias("batches"))
 
 
+def _carried(state: DataFrame | None, values: DataFrame, decay: float) -> DataFrame:
+    """(threshold, batches) of the state after more batches; n of them scale the old value by decay^n."""
+    new = running_threshold_tail(values, decay)
+    if state is None:
+        return new.select(F.col("fresh").alias("threshold"), "batches")
+    folded = state.where("batch is null")
+    old, seen = folded.select("threshold").scalar(), folded.select("batches").scalar()
+    power = F.pow(F.lit(decay), F.col("batches"))
+    return new.select(F.when(old.isNull(), F.col("fresh")).otherwise(old * power + F.coalesce("tail", F.lit(0.0))).alias("threshold"), (F.col("batches") + seen).alias("batches"))
+
+
 def threshold_merge(decay: float) -> Merge:
-    """State: one row (threshold, batches). A micro-batch of n batches scales the old value by decay^n."""
+    """State: one row (threshold, batches) over the batches that are closed, and the row minima of the open one. Batches come in
+    order; one is closed when a later one appears, since it may go on in the next micro-batch."""
 
     def merge(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-        values = batch_thresholds(batch)
-        if state is None:
-            return running_threshold(values, decay)
-        new = running_threshold_tail(values, decay)
-        old = state.select("threshold").scalar()
-        seen = state.select("batches").scalar()
-        power = F.pow(F.lit(decay), F.col("batches"))
-        return new.select(
-            F.when(old.isNull(), F.col("fresh")).otherwise(old * power + F.coalesce("tail", F.lit(0.0))).alias("threshold"), (F.col("batches") + seen).alias("batches"))
+        rows = batch.where("value > 0").select("batch", "row", "value")
+        if state is not None:
+            rows = state.where("batch is not null").select("batch", "row", "value").unionByName(rows)
+        newest = rows.agg(F.max("batch")).scalar()
+        open_rows = rows.where(F.col("batch") == newest).groupBy("batch", "row").agg(F.min("value").alias("value"))
+        return _carried(state, batch_thresholds(rows.where(F.col("batch") < newest)), decay).unionByName(open_rows, allowMissingColumns=True)
 
     return merge
 
 
+def threshold_report(state: DataFrame, decay: float) -> DataFrame:
+    """(threshold, batches) at the end of the stream, which closes the open batch."""
+    return _carried(state, batch_thresholds(state.where("batch is not null")), decay)
+
+
 def running_threshold_tail(values: DataFrame, decay: float) -> DataFrame:
     from sitelake.operators.statistics import running_total
 

@@ -92,7 +92,7 @@ def test_match_column():
 
 
 def test_metrics_file_and_fasta_round_trip(spark, tmp_path):
-    (tmp_path / "m.jsonl").write_text('{"step": 1, "a": 1.0}\nbroken\n{"step": 3, "a": 1.5, "note": "text"}\n')
+    (tmp_path / "m.jsonl").write_text('{"step": 1, "a": 1.0}\nbroken\n{"step": 3, "a": 1.5, "note": "text", "quoted": "12", "flag": true, "none": null, "list": [1]}\n')
     last = runlog.last_values(runlog.read_metrics(spark, str(tmp_path / "m.jsonl")), ["metric"], "line_no")
     assert rows(last, "metric", "value") == [("a", 1.5), ("step", 3.0)]
     readers.write_fasta(spark.createDataFrame([("P1", "ACD")], "uniprot_id string, sequence string"), str(tmp_path / "out"))
