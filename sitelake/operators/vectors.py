@@ -2,34 +2,75 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def shard_plan(entries: DataFrame, capacity: int, lane_size: int = 1_000_000) -> DataFrame:
+ENTRY = "partition string, range bigint, seq bigint, id bigint, length bigint"
+
+
+def shard_plan(entries: DataFrame, capacity: int, range_size: int = 1_000_000) -> DataFrame:
     """Next-fit packing per partition: a shard closes before the entry that would overflow it. ``entries``:
-    partition, seq (order), id, length. Packing runs per lane, a range of the order, so each task folds a
-    bounded run of (seq, length) and lanes run side by side; offsets restart in every shard."""
+    partition, seq (order), id, length. The result doesn't depend on ``range_size``, the span of the order that one task works on.
+
+    Each range first says how it ends for every entry that may open its first shard; those lie within its first ``capacity``
+    of length, so its map is small. The maps are chained in order, which gives the shard and fill every range begins
+    with, and the ranges are then packed side by side."""
+
+    def ends(pdf):
+        length = pdf.sort_values("seq")["length"].to_numpy("int64")
+        after = np.cumsum(length)
+        before = after - length
+        following = np.maximum(np.searchsorted(after, before + capacity, side="right"), np.searchsorted(before, before, side="right"))
+        used, closed = after[-1] - before, np.zeros(len(length), dtype="int64")
+        for i in range(len(length) - 1, -1, -1):
+            j = following[i]
+            if j < len(length):
+                used[i], closed[i] = used[j], closed[j] + 1
+        first = np.flatnonzero((before <= capacity) & ((length > 0) | (np.arange(len(length)) == 0)))
+        row = [pdf["partition"].iloc[0], pdf["range"].iloc[0], *[x[first].tolist() for x in (before, length, used, closed)], int(after[-1])]
+        return pd.DataFrame([row], columns=["partition", "range", "before", "length", "used", "closed", "total"])
+
+    def chain(batches):
+        current, shard, used = None, 0, 0
+        for pdf in batches:
+            begins = []
+            for row in pdf.itertuples(index=False):
+                if row.partition != current:
+                    current, shard, used = row.partition, 0, 0
+                begins.append((row.partition, row.range, shard, used))
+                over = np.flatnonzero(used + row.before + row.length > capacity) if used else np.zeros(1, dtype="int64")
+                if len(over):
+                    shard, used = shard + int(used > 0) + int(row.closed[over[0]]), int(row.used[over[0]])
+                else:
+                    used += row.total
+            yield pd.DataFrame(begins, columns=["partition", "range", "first_shard", "first_used"])
 
     def fold(batches):
-        shard, used, current = -1, 0, None
+        current, shard, used = None, 0, 0
         for pdf in batches:
             shards, starts = [], []
-            for lane, length in zip(zip(pdf["partition"], pdf["lane"]), pdf["length"]):
-                if lane != current:
-                    current, shard, used = lane, lane[1] * lane_size, 0
-                elif used and used + length > capacity:
+            for part, rng, length, first_shard, first_used in zip(pdf["partition"], pdf["range"], pdf["length"], pdf["first_shard"], pdf["first_used"]):
+                if (part, rng) != current:
+                    current, shard, used = (part, rng), first_shard, first_used
+                if used and used + length > capacity:
                     shard, used = shard + 1, 0
                 shards.append(shard)
                 starts.append(used)
                 used += length
-            yield pdf.assign(shard=pd.Series(shards, dtype="int64", index=pdf.index), start_offset=pd.Series(starts, dtype="int64", index=pdf.index))
-
-    schema = "partition string, lane bigint, seq bigint, id bigint, length bigint, shard bigint, start_offset bigint"
-    laned = entries.select("partition", F.floor(F.col("seq") / lane_size).alias("lane"), "seq", "id", "length")
-    ordered = laned.repartition("partition", "lane").sortWithinPartitions("partition", "lane", "seq")
-    return ordered.mapInPandas(fold, schema).drop("lane").withColumn("end_offset", F.col("start_offset") + F.col("length"))
+            yield pdf.drop(columns=["first_shard", "first_used"]).assign(
+                shard=pd.Series(shards, dtype="int64", index=pdf.index), start_offset=pd.Series(starts, dtype="int64", index=pdf.index))
+
+    kinds = dict(c.split() for c in ENTRY.split(", "))
+    ranged = entries.withColumn("range", F.floor(F.col("seq") / range_size)).select(*[F.col(c).cast(t) for c, t in kinds.items()])
+    many = "before array<bigint>, length array<bigint>, used array<bigint>, closed array<bigint>, total bigint"
+    maps = ranged.groupBy("partition", "range").applyInPandas(ends, f"partition string, range bigint, {many}")
+    begins = maps.repartition("partition").sortWithinPartitions("partition", "range").mapInPandas(chain, "partition string, range bigint, first_shard bigint, first_used bigint")
+    ordered = ranged.join(begins, ["partition", "range"]).repartition("partition", "range").sortWithinPartitions("partition", "range", "seq")
+    packed = ordered.mapInPandas(fold, f"{ENTRY}, shard bigint, start_offset bigint")
+    return packed.drop("range").withColumn("end_offset", F.col("start_offset") + F.col("length"))
 
 
 def write_vectors(vectors: DataFrame, plan: DataFrame, folder: str) -> None:

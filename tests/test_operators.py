@@ -178,6 +178,21 @@ def test_overlap_includes_empty_pairs(spark):
     assert got == [("a", "b", 0)]
 
 
+def test_shard_plan_does_not_depend_on_its_ranges(spark):
+    lengths = [(i * 37) % 11 + (40 if i % 29 == 0 else 0) for i in range(300)]  # zeros and entries above the capacity too
+    rows = spark.createDataFrame([(p, i, i, n) for p in "ab" for i, n in enumerate(lengths)], "partition string, seq long, id long, length long")
+    shard, used, want = 0, 0, []
+    for i, n in enumerate(lengths):
+        if used and used + n > 25:
+            shard, used = shard + 1, 0
+        want.append((i, shard, used))
+        used += n
+    for size in (1, 7, 64, 1000):
+        got = vectors.shard_plan(rows, 25, size).collect()
+        for p in "ab":
+            assert sorted((r["id"], r["shard"], r["start_offset"]) for r in got if r["partition"] == p) == want
+
+
 def test_vector_and_shard_rules(spark, tmp_path):
     rows = spark.createDataFrame([("t", i, i, n) for i, n in enumerate([3, 2, 4, 10, 1])], "partition string, seq long, id long, length long")
     got = {r["id"]: (r["shard"], r["start_offset"], r["end_offset"]) for r in vectors.shard_plan(rows, 5).collect()}
