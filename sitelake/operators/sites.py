@@ -105,6 +105,13 @@ def require_known_spellings(sites: DataFrame) -> None:
         raise ValueError(f"unmapped type spellings: {missing}")
 
 
+def known_spellings(sites: DataFrame) -> DataFrame:
+    """The strict path without a pass of its own: the first row with an unknown spelling fails the job that reads its status.
+    ``require_known_spellings`` names them all."""
+    unknown = F.raise_error(F.concat(F.lit("unmapped type spelling: "), F.coalesce("raw_type", F.lit("null")))).cast("string")
+    return sites.withColumn("type_status", F.when(F.col("type_status") == "unknown", unknown).otherwise(F.col("type_status")))
+
+
 def evidence_flag(sites: DataFrame, evidence: str = "evidence") -> DataFrame:
     keep = exprs.evidence_kept(evidence) if evidence in sites.columns else F.lit(True)
     return sites.withColumn("evidence_ok", keep)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelake.functions import dims
-from sitelake.operators import agreement, sites
+from sitelake.operators import agreement, reports, sites
 from sitelake.session import cut_lineage
 
 AUX = ["evidence", "reliability", "residue", "from_isoform_accession"]
@@ -30,11 +30,13 @@ class Cascade:
         return sites.inherit_partition(sites.pool_rare_types(self.deduped, by_stratum), self.corpus)
 
 
-def trace(raw: DataFrame, corpus: DataFrame, with_evidence: bool = True, strict_types: bool = False) -> DataFrame:
-    rows = sites.attach_residue(sites.strip_isoforms(raw, corpus), corpus)
+def trace(raw: DataFrame, corpus: DataFrame, with_evidence: bool = True, strict_types: bool = True, isoforms: bool = True) -> DataFrame:
+    """Every row with the verdict of each step. Strict: a spelling no table knows fails the job when it runs; loose, for other
+    species, it is left out by ``valid``. ``isoforms=False`` takes accessions as they are written."""
+    rows = sites.attach_residue(sites.strip_isoforms(raw, corpus) if isoforms else raw, corpus)
     rows = sites.canonical_types(rows)
     if strict_types:
-        sites.require_known_spellings(rows)
+        rows = sites.known_spellings(rows)
     rows = sites.evidence_flag(rows) if with_evidence else rows.withColumn("evidence_ok", F.lit(True))
     return sites.validate(rows)
 
@@ -84,7 +86,7 @@ def mask_rows(site_table: DataFrame) -> DataFrame:
                           F.explode(F.expr("array_repeat(0, cast(n as int))")).alias("copy")).drop("copy")
 
 
-def run(raw: DataFrame, corpus: DataFrame, sources: dict[int, str], ambiguous_sources: list[str], strict_types: bool = False,
+def run(raw: DataFrame, corpus: DataFrame, sources: dict[int, str], ambiguous_sources: list[str], strict_types: bool = True,
         aux: list[str] | None = None, lookup: DataFrame | None = None, materialize: bool = False) -> Cascade:
     """Labels for the corpus. ``sources`` maps source rank to name; ambiguous sources feed the mask only.
     ``lookup`` may be a cheaper frame with accession and sequence. ``materialize`` writes the site table
@@ -101,11 +103,12 @@ def run(raw: DataFrame, corpus: DataFrame, sources: dict[int, str], ambiguous_so
 
 
 def replication_labels(raw: DataFrame, corpus: DataFrame, mask: DataFrame) -> DataFrame:
-    """The replication set: species and reliability floor instead of the evidence filter, first row per key."""
+    """The replication set: species and reliability floor instead of the evidence filter, accessions as written, and the whole
+    first row per key."""
     rows = sites.reliability_filter(sites.species_filter(raw))
-    ok = valid(trace(rows, corpus, with_evidence=False))
-    deduped = sites.deduplicate(ok, AUX)
-    kept = sites.drop_masked(deduped, mask)
+    ok = valid(trace(rows, corpus, with_evidence=False, isoforms=False))
+    first = reports.first_rows(ok.select(*KEY, "source_rank", "row_no", "source", "evidence", "reliability", "residue"), KEY, ["source_rank", "row_no"])
+    kept = sites.drop_masked(first, mask)
     out = sites.inherit_partition(sites.pool_rare_types(kept, True), corpus)
     talk = kept.groupBy("accession", "position").agg(F.count("*").alias("n_types")).where("n_types > 1")
     return sites.enrich(out, talk)
@@ -113,7 +116,7 @@ def replication_labels(raw: DataFrame, corpus: DataFrame, mask: DataFrame) -> Da
 
 def held_out_species_labels(raw: DataFrame, corpus: DataFrame, mask: DataFrame, species: str) -> DataFrame:
     """Another species: no evidence filter, no partition; unknown spellings are dropped."""
-    ok = valid(trace(raw, corpus, with_evidence=False))
+    ok = valid(trace(raw, corpus, with_evidence=False, strict_types=False))
     kept = sites.drop_masked(ok, mask)
     deduped = sites.deduplicate(kept, AUX)
     talk = agreement.crosstalk(agreement.site_masks(kept))

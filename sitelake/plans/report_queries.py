@@ -25,7 +25,7 @@ def b9(spark, sf):
 
 def species_rows(spark, sf):
     """Labels of the other languages, with the per-document flag where one exists."""
-    rows = cascade.valid(cascade.trace(I.raw_sites(spark, sf).where("lang <> 'en'"), I.sequences(spark, sf), with_evidence=False))
+    rows = cascade.valid(cascade.trace(I.raw_sites(spark, sf).where("lang <> 'en'"), I.sequences(spark, sf), with_evidence=False, strict_types=False))
     deduped = rows.groupBy("pid", "accession", "position", "type", F.col("lang").alias("species")).agg(F.count("*").alias("rows"))
     flags = I.table(spark, sf, "labels").select(F.concat(F.lit("P"), "doc_id").alias("accession"), F.expr(FLAGS).alias("homologous_to_human"))
     return sites.species_flag(deduped, flags)
@@ -336,11 +336,11 @@ def g7_species(spark, sf):
     return out.select("accession", "position", "type", "stratum", "residue", "source_count", "species", "partition", "type_pooled", "crosstalk")
 
 
-@query("g7_replication_labels", """select accession, position, r.type, t.stratum, residue, case when count(*) over (partition by r.type) < 200 then t.stratum || '::other_PTM' else r.type end as type_pooled,
+@query("g7_replication_labels", """select accession, position, r.type, t.stratum, residue, source, evidence, reliability, case when count(*) over (partition by r.type) < 200 then t.stratum || '::other_PTM' else r.type end as type_pooled,
     count(*) over (partition by accession, position) > 1 as crosstalk from o_repl r join o_types t on r.type = t.type""")
 def g7_replication(spark, sf):
     out = cascade.replication_labels(I.raw_sites(spark, sf), I.corpus(spark, sf), full(spark, sf).mask)
-    return out.select("accession", "position", "type", "stratum", "residue", "type_pooled", "crosstalk")
+    return out.select("accession", "position", "type", "stratum", "residue", "source", "evidence", "reliability", "type_pooled", "crosstalk")
 
 
 @query("s1_union_by_name", """select source, count(*) as n, count(evidence) as n_evidence, count(reliability) as n_reliability from (select source, evidence, null as reliability from o_raw where source = 's1'

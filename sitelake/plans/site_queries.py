@@ -239,10 +239,15 @@ def c7(spark, sf):
     return agreement.pairwise_overlap(cascade.valid(traced(spark, sf)), list(ALL_SOURCES.values()), ["accession", "position"])
 
 
-define("o_repl0", """select t.* from o_traced t where lower(trim(species)) in ('human', 'homo sapiens') and reliability >= 2
-    and type_status = 'known' and reason is null""")
-define("o_repl", """select accession, position, type, count(*) as rows_in, min(residue) as residue from o_repl0 c where not exists (select 1 from o_mask m
-    where m.accession = c.accession and m.position = c.position and m.type = c.type) group by accession, position, type""")
+define("o_rkey", """select r.* exclude (type), substr(p.sequence, r.position, 1) as residue,
+    replace(replace(replace(lower(trim(r.type)), '_', '-'), '  ', ' '), ' ', '-') as k from o_raw r join o_prot p on r.accession = p.accession
+    where lower(trim(r.species)) in ('human', 'homo sapiens') and r.reliability >= 2 and r.position between 1 and p.length""")
+define("o_rfirst", """select * from (select c.*, coalesce(b.resolved_type, s.spelled_type) as type from o_rkey c
+      left join o_byres b on c.k = b.resolved_key and c.residue = b.resolved_residue left join o_spell s on c.k = s.spelling_key)
+    where (type, residue) in (select t.type, s.residue from o_types t join o_strata s on t.stratum = s.stratum)
+    qualify row_number() over (partition by accession, position, type order by source_rank, row_no) = 1""")
+define("o_repl", """select r.* from o_rfirst r left join (select distinct accession, position, type, true as masked from o_mask) m
+    on r.accession = m.accession and r.position = m.position and r.type = m.type where m.masked is null""")
 
 
 @query("c8_type_overlap", f"""with s as (select coalesce(a.type, b.type) as type, a.type is not null as l, b.type is not null as r

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
 from sitelake.functions import exprs
@@ -9,9 +12,124 @@ from sitelake.operators import reports, runlog
 from sitelake.plans import inputs as I
 from sitelake.plans.oracle import define, r
 from sitelake.plans.registry import query
+from sitelake.plans.split import SplitResult, write_split
+from sitelake.session import ensure_checkpoint_dir, read_shared, write_shared
 from sitelake.sources import inventory, readers
 
 
+def folder(spark, name):
+    return f"{ensure_checkpoint_dir(spark)}/source-{name}-{uuid.uuid4().hex}"
+
+
+def as_tsv(rows, path, **options):
+    """Delimited text as the sources ship it: blanks around a value stay."""
+    rows.write.options(sep="\t", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options).csv(path)
+    return path
+
+
+@query("a1_fasta", "select accession as uniprot_id, length, case when length <= 1022 then sequence end as sequence from o_seq")
+def a1(spark, sf):
+    """Sequences as wrapped lower-case records with a stop mark, written as text and read back."""
+    path = folder(spark, "fasta")
+    rows = I.sequences(spark, sf).select(
+        F.concat(F.lit("sp|"), "accession", F.lit("|"), "source", F.lit(" OS=Homo sapiens")).alias("uniprot_id"),
+        F.concat(F.lower(F.substring("sequence", 1, 60)), F.lit("\n"), F.expr("substr(sequence, 61)"), F.lit("*\n")).alias("sequence"))
+    readers.write_fasta(rows, path)
+    valid, skipped = readers.read_fasta(spark, path)
+    return valid.select("uniprot_id", "length", "sequence").unionByName(skipped, allowMissingColumns=True)
+
+
+@query("a3_headerless_table", "select accession, position, type, lang as species from o_raw where position % 13 <> 0")
+def a3(spark, sf):
+    text = F.when(F.col("position") % 13 == 0, "n/a").otherwise(F.col("position").cast("string"))
+    none = F.lit(None).cast("string")
+    rows = I.raw_sites(spark, sf).select(
+        F.col("row_no").cast("string"), "accession", text.alias("position"), "type", none.alias("protein_name"), none.alias("gene"), "lang", none.alias("window"), none.alias("pmid"))
+    return readers.parse(spark, "lysine", as_tsv(rows, folder(spark, "lysine"))).drop("pmid")
+
+
+@query("a5_multi_species", "select accession, position, type, species, reliability from o_raw")
+def a5(spark, sf):
+    rows = I.raw_sites(spark, sf).select(
+        F.col("accession").alias("UniProt Accession"), F.col("position").alias("Site Position"), F.col("type").alias("PTM type"),
+        F.col("species").alias("Organism"), F.col("reliability").alias("Reliability score"))
+    return readers.parse(spark, "multi_species", as_tsv(rows, folder(spark, "species"), header=True)).drop("pmid")
+
+
+@query("a7_paired_lines", "select accession, position, lower(label) as label from o_gold")
+def a7(spark, sf):
+    path = folder(spark, "pairs")
+    flag = F.when(F.col("label") == "Glycosylated", "1").otherwise("0")
+    cells = I.gold_rows(spark, sf).groupBy("accession").agg(F.array_join(F.collect_list(F.concat_ws(",", flag, "position")), ",").alias("cells"))
+    lines = cells.select(F.concat("accession", F.lit(","), "cells", F.lit("\nSEQUENCE")).alias("value"))
+    lines.write.option("maxRecordsPerFile", 100_000).text(path)
+    return readers.parse(spark, "pairs", path)
+
+
+@query("a8_header_row", "select accession, lang from o_seq")
+def a8(spark, sf):
+    """Two rows above the header row; all cells are text until the header is found."""
+    top = spark.createDataFrame([(-3, "Table 1", None), (-2, "sites of all texts", "version 1"), (-1, " UniProt ID", "Language ")], "line_no bigint, c1 string, c2 string")
+    rows = I.sequences(spark, sf).select(F.col("pid").alias("line_no"), F.col("accession").alias("c1"), F.col("lang").alias("c2"))
+    found = readers.header_row(top.unionByName(rows), ["uniprot", "language"], "line_no")
+    return found.select(F.col("UniProt ID").alias("accession"), F.col("Language").alias("lang"))
+
+
+@query("a9_encodings", "select accession || ' caf' || chr(233) || ' ' || chr(8364) || ' ' || lang as line from o_seq where pid % 2 = 0 union all select accession || ' caf' || chr(233) || ' ' || lang from o_seq where pid % 2 = 1")
+def a9(spark, sf):
+    """Half of the files in UTF-8, half in a one-byte code page; read by what their bytes allow."""
+    path, rows = folder(spark, "encodings"), I.sequences(spark, sf)
+    line = lambda *middle: F.concat_ws(" ", "accession", *[F.lit(m) for m in middle], "lang").alias("line")
+    rows.where("pid % 2 = 0").select(line("caf\u00e9", "\u20ac")).write.csv(f"{path}/utf8")
+    rows.where("pid % 2 = 1").select(line("caf\u00e9")).write.option("encoding", "ISO-8859-1").csv(f"{path}/latin")
+    return readers.decoded_lines(spark, f"{path}/*/part-*").select("line")
+
+
+@query("a10_containers", "select accession, lang from o_seq")
+def a10(spark, sf):
+    """Half of the files compressed, half plain; the content decides, not the name."""
+    path, rows = folder(spark, "containers"), I.sequences(spark, sf)
+    lines = lambda part: rows.where(f"pid % 2 = {part}").select(F.concat_ws("\t", "accession", "lang").alias("value"))
+    lines(0).write.option("maxRecordsPerFile", 100_000).option("compression", "gzip").text(f"{path}/packed")
+    lines(1).write.option("maxRecordsPerFile", 100_000).text(f"{path}/plain")
+    return readers.split_lines(readers.container_lines(spark, f"{path}/*/part-*"), ["accession", "lang"]).select("accession", "lang")
+
+
+@query("a15_split_manifest", "select partition, count(*) as n, 'kept' as other_build from o_prot group by partition")
+def a15(spark, sf):
+    """Corpus, sites and manifest written and read back; keys of other builds stay in the manifest."""
+    path, corpus = folder(spark, "split"), I.corpus(spark, sf).select("accession", "cluster_id", "partition")
+    report = corpus.groupBy(F.col("partition").alias("feature")).agg(F.count("*").alias("n"))
+    write_shared(spark, f"{path}/split_manifest.json", json.dumps({"other_build": "kept", "balance": "old"}))
+    write_split(SplitResult(corpus, corpus, None, report, None, [{"pass": 0}]), path)
+    manifest = json.loads(read_shared(spark, f"{path}/split_manifest.json"))
+    sizes = spark.createDataFrame([(k, v["n"]) for k, v in manifest["balance"].items()], "partition string, n bigint")  # one row per partition
+    return spark.read.parquet(f"{path}/corpus").groupBy("partition").agg(F.count("*").alias("n")).join(sizes, ["partition", "n"]).withColumn("other_build", F.lit(manifest["other_build"]))
+
+
+@query("a20_partition_layout", "select accession, cluster_id from o_prot where partition = 'held_out'")
+def a20(spark, sf):
+    path = folder(spark, "layout")
+    I.corpus(spark, sf).select("accession", "cluster_id", "partition").write.partitionBy("partition").parquet(path)
+    return spark.read.parquet(path).where("partition = 'held_out'").select("accession", "cluster_id")
+
+
+@query("u1_registered_parser", "select doc_id, lang from documents where n_chars is not null")
+def u1(spark, sf):
+    readers.register_parser("documents", lambda spark, path: spark.read.parquet(path).where("n_chars is not null").select("doc_id", "lang"))
+    return readers.parse(spark, "documents", f"{sf}/documents.parquet")
+
+
+@query("u3_cached_table", "select lang, count(*) as n, false as first_reused, true as second_reused, false as changed_reused from documents group by lang")
+def u3(spark, sf):
+    """Built, then found by its fingerprint, then built again for another configuration."""
+    docs, path = I.table(spark, sf, "documents").select("doc_id", "lang"), folder(spark, "cache")
+    build = lambda: docs.groupBy("lang").agg(F.count("*").alias("n"))
+    runs = [inventory.cached_table(spark, path, {"documents": docs}, {"version": v}, build) for v in (1, 1, 2)]
+    flags = [F.lit(reused).alias(name) for name, (_, reused) in zip(("first_reused", "second_reused", "changed_reused"), runs)]
+    return runs[-1][0].select("lang", "n", *flags)
+
+
 @query("a2_reviewed_proteome", "select accession, length, sequence from o_seq where length <= 1022")
 def a2(spark, sf):
     rows = I.sequences(spark, sf).select(F.col("accession").alias("Entry Accession"), F.col("length").alias("Length"), F.lower("sequence").alias(" Sequence "))

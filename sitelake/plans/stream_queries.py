@@ -47,9 +47,19 @@ def t1(spark, sf):
     return sums.select("latent", "n", *[exprs.rounded(c).alias(c) for c in ("sum_x", "sum_xx", "sse")], "fired")
 
 
-@query("t2_concentration_counts", "select event_type as stratum, user_id as latent, count(*) as total, count(*) filter (where value > 60) as active from events group by all")
+N_FIRED = "count(*) as total, count(*) filter (where value > 60) as active"
+
+
+@query("t2_concentration_counts", f"""select 'stratum' as level, event_type as stratum, null::varchar as label, user_id as latent, {N_FIRED} from events group by all
+    union all select 'type', event_type, 'odd', user_id, {N_FIRED} from events where event_id % 2 = 1 group by event_type, user_id
+    union all select 'type', event_type, 'third', user_id, {N_FIRED} from events where event_id % 3 = 1 group by event_type, user_id
+    union all select 'tier', null, case when value > 90 then 'gold' when value > 30 then 'hard' else 'background' end as tier, user_id, {N_FIRED}
+      from events where event_id % 2 <> 1 and event_id % 3 <> 1 group by tier, user_id""")
 def t2(spark, sf):
-    return aggregated(spark, folds.concentration_counts(firing(spark, sf)))
+    types = F.array_compact(F.array(F.when(F.col("event_id") % 2 == 1, "odd"), F.when(F.col("event_id") % 3 == 1, "third")))
+    tier = F.when(F.col("value") > 90, "gold").when(F.col("value") > 30, "hard").otherwise("background")
+    rows = firing(spark, sf).withColumn("types", types).withColumn("tier", F.when(F.size("types") == 0, tier))
+    return aggregated(spark, folds.concentration_counts(rows))
 
 
 @query("t3_topk_per_latent", "select latent, value, event_id from (select *, row_number() over (partition by latent order by value desc, event_id) as rn from o_fire where value > 0) where rn <= 5")
@@ -71,8 +81,9 @@ def t5(spark, sf):
 @query("t6_resumable_ingest", "select event_id, user_id, value from events")
 def t6(spark, sf):
     state, progress = places(spark)
-    for _ in range(2):  # the second start finds everything committed
-        folds.ingest(events(spark, sf).select("event_id", "user_id", "value"), state, progress, "event_id")
+    for _ in range(2):  # every row comes twice in a batch; the second start finds everything committed
+        rows = events(spark, sf).select("event_id", "user_id", "value")
+        folds.ingest(rows.unionByName(rows), state, progress, "event_id")
     return spark.read.parquet(*[f"{state}/rows/v={v}" for v in folds.state_versions(spark, f"{state}/rows")])
 
 

@@ -59,3 +59,35 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Write the frame to the reliable checkpoint folder, so a lost executor never replays the loop."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def read_shared(spark: SparkSession, path: str) -> str | None:
+    """A small text file on any file system Spark can reach; None where it is absent."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_shared(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small text file; the rename at the end is the commit."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    conf = context._jsc.hadoopConfiguration()
+    where, new = hadoop.Path(path), hadoop.Path(path + ".tmp")
+    stream = where.getFileSystem(conf).create(new, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    rename = getattr(hadoop, "Options$Rename")
+    options = context._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    files = hadoop.FileContext.getFileContext(where.getFileSystem(conf).makeQualified(where).toUri(), conf)
+    files.rename(new, where, options)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelake.operators.reports import table_fingerprint
+from sitelake.session import read_shared, write_shared
 
 
 def file_inventory(spark: SparkSession, path: str, with_hash: bool = True) -> DataFrame:
@@ -50,12 +50,8 @@ def cached_table(spark: SparkSession, folder: str, inputs: dict[str, DataFrame],
     marks = {name: [str(v) for v in table_fingerprint(frame).first()] for name, frame in sorted(inputs.items())}
     expected = json.dumps({"inputs": marks, "config": config}, sort_keys=True, default=str)
     sidecar = f"{folder}.fp.json"
-    if not force and os.path.exists(sidecar):
-        with open(sidecar) as handle:
-            if handle.read() == expected:
-                return spark.read.parquet(folder), True
+    if not force and read_shared(spark, sidecar) == expected:
+        return spark.read.parquet(folder), True
     build().write.mode("overwrite").parquet(folder)
-    with open(sidecar + ".tmp", "w") as handle:
-        handle.write(expected)
-    os.replace(sidecar + ".tmp", sidecar)
+    write_shared(spark, sidecar, expected)
     return spark.read.parquet(folder), False

@@ -59,8 +59,18 @@ def evaluation_sums(codes: DataFrame) -> DataFrame:
 
 
 def concentration_counts(rows: DataFrame) -> DataFrame:
-    """Active and marked residues per (stratum, latent); ratios are taken when the stream is read."""
-    return rows.groupBy("stratum", "latent").agg(F.count("*").alias("total"), F.count_if("fired").alias("active"))
+    """All and active residues per latent, by stratum, by (stratum, type) and by negative tier, in one aggregation; ratios are
+    taken when the stream is read. ``rows``: stratum, types (null or empty for a negative), tier (null for a positive),
+    latent, fired. A residue of several types counts once under each."""
+    none, text = F.lit(None).cast("string"), lambda c: c.cast("string")
+    entry = lambda level, stratum, label: F.struct(F.lit(level).alias("level"), text(stratum).alias("stratum"), text(label).alias("label"))
+    stratum, tier = F.col("stratum"), F.col("tier")
+    types = F.array_distinct(F.coalesce("types", F.array().cast("array<string>")))
+    entries = F.concat(
+        F.array(entry("stratum", stratum, none)), F.transform(types, lambda t: entry("type", stratum, t)),
+        F.filter(F.array(entry("tier", none, tier)), lambda e: e["label"].isNotNull()))
+    return rows.select("latent", "fired", F.inline(entries)).groupBy("level", "stratum", "label", "latent").agg(
+        F.count("*").alias("total"), F.count_if("fired").alias("active"))
 
 
 def code_counts(rows: DataFrame, code: str) -> DataFrame:
@@ -165,19 +175,23 @@ def running_threshold_tail(values: DataFrame, decay: float) -> DataFrame:
     return placed.agg(F.sum(F.col("v") * later).alias("tail"), F.sum(F.col("v") * first).alias("fresh"), F.count("*").alias("batches"))
 
 
+KEY_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def ingest(stream: DataFrame, folder: str, checkpoint: str, key: str) -> None:
-    """Append rows whose key the index does not hold yet; the index of a batch is written after its rows, and
-    both under the batch id, so a restart neither repeats nor loses a key."""
+    """Append one row per key; a key that was committed, or repeats inside a batch, is skipped. The keys seen are the state
+    of the stream, kept on disk by key and saved as changes, so a batch costs its own size and not that of all keys. Rows
+    are written under the batch id: a replayed batch overwrites its own rows, a restart neither repeats nor loses a key."""
+    name, store = KEY_STORE
+    conf = stream.sparkSession.conf
+    before = conf.get(name)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = [v for v in state_versions(spark, f"{folder}/index") if v < batch_id]
-        new = batch
-        if known:
-            index = spark.read.parquet(*[f"{folder}/index/v={v}" for v in known]).select(key)
-            new = batch.join(index, key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{folder}/rows/v={batch_id}")
-        spark.read.parquet(f"{folder}/rows/v={batch_id}").select(key).distinct().write.mode("overwrite").parquet(f"{folder}/index/v={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/v={batch_id}")
 
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf.set(name, store)
+    try:  # the query takes the settings of the moment it starts
+        query = stream.dropDuplicates([key]).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
     query.awaitTermination()
