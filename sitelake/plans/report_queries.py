@@ -90,6 +90,15 @@ def d13(spark, sf):
     return reports.table_fingerprint(I.raw_sites(spark, sf))
 
 
+@query("d13_fingerprint_order", "select count(*) as n_rows, true as same_reordered, false as same_changed from o_raw")
+def d13_order(spark, sf):
+    """The fingerprint does not depend on the order of rows, but on every value."""
+    raw = I.raw_sites(spark, sf)
+    mark = F.struct("n_rows", "xor_hash", "sum_hash")
+    same = lambda frame: mark.eqNullSafe(reports.table_fingerprint(frame).select(mark).scalar())
+    return reports.table_fingerprint(raw).select("n_rows", same(raw.repartition(7, "row_no")).alias("same_reordered"), same(raw.withColumn("row_no", F.col("row_no") + 1)).alias("same_changed"))
+
+
 PROFILED = ["source", "type", "evidence", "reliability", "species", "position"]
 
 

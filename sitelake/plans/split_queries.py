@@ -10,6 +10,7 @@ from sitelake.plans import split
 from sitelake.plans.oracle import define, r
 from sitelake.plans.registry import query
 from sitelake.plans.site_queries import full
+from sitelake.session import cut_lineage
 
 K, IDENTITY = 16, 0.4
 PLAN = balance.SplitPlan()
@@ -82,6 +83,31 @@ def g2_greedy(spark, sf):
     return clustering.representative_clusters(I.sequences(spark, sf).select(F.col("pid").alias("id"), "sequence"), IDENTITY, K)
 
 
+def counted(*frames):
+    """(check, n): the columns of one-row frames as rows."""
+    out = None
+    for frame in frames:
+        rows = frame.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("bigint").alias("n")) for c in frame.columns])))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def none_of(*names):
+    return "".join(f" union all select '{name}', 0" for name in names)
+
+
+@query("g2_representative_checks", """select 'sequences' as "check", count(*) as n from o_seq""" + none_of("repeated", "indirect", "longer_than_representative"))
+def g2_checks(spark, sf):
+    """Every sequence once, under a representative that stands for itself and is not shorter."""
+    reps = cut_lineage(g2_greedy(spark, sf))
+    lengths = I.sequences(spark, sf).select(F.col("pid").alias("id"), "length")
+    own = reps.select(F.col("id").alias("representative"), F.col("representative").alias("next"))
+    pairs = reps.join(own, "representative", "left").join(lengths, "id").join(lengths.select(F.col("id").alias("representative"), F.col("length").alias("most")), "representative")
+    return counted(
+        reps.agg(F.count("*").alias("sequences"), (F.count("*") - F.count_distinct("id")).alias("repeated")),
+        pairs.agg(F.count_if(~F.col("next").eqNullSafe(F.col("representative"))).alias("indirect"), F.count_if(F.col("length") > F.col("most")).alias("longer_than_representative")))
+
+
 define("o_ssitec", "select s.*, p.cluster_id from o_ssite s join o_sprot p using (uniprot_id)")
 define("o_extypes", """select type_pooled, sum(n)::bigint as total, max(n) as largest, case when contains(type_pooled, '::other') then 'pooled rare-type class' when sum(n) < 300 then 'fewer than 300 sites'
     when max(n) >= 0.1 * sum(n) then 'one cluster holds too large a share of its sites' end as reason from (select type_pooled, cluster_id, count(*) as n from o_ssitec group by all) group by type_pooled""")
@@ -180,6 +206,31 @@ def g3(spark, sf):
     return balance.balanced_split(balance.cluster_features(*split_inputs(spark, sf), PLAN), PLAN)
 
 
+def split_checks(features, plan):
+    """Of a split of whole clusters: each once, none left out, no window or floor missed."""
+    features = cut_lineage(features)
+    assignment = cut_lineage(balance.balanced_split(features, plan).select("cluster_id", "partition"))
+    per_cluster = assignment.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    floors = balance.type_floors(features.groupBy("feature").agg(F.sum("value").alias("total")), plan).drop("total")
+    report = balance.balance_report(features, assignment, plan).join(floors, "feature", "left")
+    audited = list(zip(plan.names, plan.fractions))[1:]
+    far = lambda p, f: F.abs(F.col(f"sum_{p}") - f * F.col("total")) > plan.token_tolerance * f * F.col("total") + 1
+    outside = sum(F.when((F.col("feature") == "tokens") & far(p, f), 1).otherwise(0) for p, f in audited)
+    missed = sum(F.when(F.col(f"sum_{p}") < F.col(f"floor_{p}"), 1).otherwise(0) for p, _ in audited)
+    return counted(
+        per_cluster.agg(F.count("*").alias("clusters"), F.count_if(F.col("n") > 1).alias("repeated")),
+        features.select("cluster_id").distinct().join(per_cluster, "cluster_id", "left_anti").agg(F.count("*").alias("left_out")),
+        report.agg(F.sum(outside).alias("outside_windows"), F.sum(missed).alias("missed_floors")))
+
+
+SPLIT_CHECKS = """select 'clusters' as "check", count(distinct cluster_id) as n from o_sprot""" + none_of("repeated", "left_out", "outside_windows", "missed_floors")
+
+
+@query("g3_split_checks", SPLIT_CHECKS)
+def g3_checks(spark, sf):
+    return split_checks(balance.cluster_features(*split_inputs(spark, sf), PLAN), PLAN)
+
+
 TWO_WAY = balance.SplitPlan(names=("discovery", "holdout"), fractions=(0.8, 0.2), min_sites=(0, 200))
 
 
@@ -188,6 +239,11 @@ def g5(spark, sf):
     return balance.balanced_split(balance.cluster_features(*split_inputs(spark, sf), TWO_WAY), TWO_WAY)
 
 
+@query("g5_split_checks", SPLIT_CHECKS)
+def g5_checks(spark, sf):
+    return split_checks(balance.cluster_features(*split_inputs(spark, sf), TWO_WAY), TWO_WAY)
+
+
 TEXT_PLAN = balance.SplitPlan(token_tolerance=0.10, min_sites=(0, 20, 40), audit_passes=2)
 
 
@@ -208,3 +264,27 @@ def g6(spark, sf):
     proteome = I.sequences(spark, sf).select(F.col("pid").alias("id"), "accession", "sequence", "length")
     corpus, _ = split.build_corpus(proteome, text_sites(spark, sf), plan, IDENTITY, K)
     return corpus.select("uniprot_id", "cluster_id", "partition")
+
+
+def group_checks(placed, rows):
+    """Of a placed corpus: every sequence once, no cluster and no text in two partitions."""
+    placed = cut_lineage(placed)
+    parted = lambda frame, key: frame.groupBy(key).agg(F.count_distinct("partition").alias("k"))
+    texts = placed.join(rows.select(F.col("pid").alias("uniprot_id"), F.md5("sequence").alias("text")), "uniprot_id")
+    return counted(
+        placed.agg(F.count("*").alias("sequences"), (F.count("*") - F.count_distinct("uniprot_id")).alias("repeated")),
+        parted(placed, "cluster_id").agg(F.count_if(F.col("k") > 1).alias("clusters_apart")),
+        parted(texts, "text").agg(F.count_if(F.col("k") > 1).alias("equal_texts_apart")))
+
+
+GROUP_CHECKS = """select 'sequences' as "check", count(*) as n from o_seq""" + none_of("repeated", "clusters_apart", "equal_texts_apart")
+
+
+@query("g4_split_checks", GROUP_CHECKS)
+def g4_checks(spark, sf):
+    return group_checks(g4(spark, sf), I.sequences(spark, sf))
+
+
+@query("g6_corpus_checks", GROUP_CHECKS)
+def g6_checks(spark, sf):
+    return group_checks(g6(spark, sf), I.sequences(spark, sf))

@@ -286,6 +286,13 @@ def h21_spectrum(spark, sf):
     return I.vectors(spark, sf).agg(F.count("*").alias("n")).select(F.inline(pairs))
 
 
+@query("h21_participation", """with c as (select a.d as i, b.d as j, avg(a.x * b.x) - avg(a.x) * avg(b.x) as cov from o_xlong a join o_xlong b on a.vec_id = b.vec_id group by a.d, b.d)
+    select 'participation' as metric, round(pow(sum(cov) filter (where i = j), 2) / sum(cov * cov), 6) as value from c""")
+def h21_participation(spark, sf):
+    """The squared trace over the squared norm of the covariance: what its eigenvalues give, without them."""
+    return h21_spectrum(spark, sf).where("metric = 'participation'")
+
+
 @query("h22_class_variance", f"""with c as (select label, d, count(*) as n, var_pop(x) * count(*) as w from o_xlong group by all), s as (select label, sum(w) as within, max(n) as tokens from c group by label),
     t as (select sum(v) as t from (select var_pop(x) * count(*) as v from o_xlong group by d)), m as (select label, avg(s) as norm from (select label, sqrt(sum(x * x)) as s from o_xlong group by label, vec_id) group by label)
     select s.label, tokens, {r('norm')} as mean_norm, {r('within / (select sum(within) from s)')} as share_of_within, {r('1 - (select sum(within) from s) / (select t from t)')} as explained from s join m on s.label = m.label""")
@@ -398,6 +405,21 @@ def e8(spark, sf):
     return V.shuffled_batches(I.vectors(spark, sf).select("pid", "position"), ["pid", "position"], seed=7, epoch=1, batch=64)
 
 
+@query("e7_epoch_checks", """select count(*) as shards, count(*) as places, 0 as first_place, count(*) - 1 as last_place, (count(*) + 3) // 4 as most_per_worker from (select distinct partition, shard from o_plan)""")
+def e7_checks(spark, sf):
+    """Every shard at a place of its own, places without gaps, shards spread evenly over the workers."""
+    order = e7(spark, sf)
+    most = order.groupBy("worker").agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
+    return order.agg(F.count_distinct("partition", "shard").alias("shards"), F.count_distinct("place").alias("places"), F.min("place").alias("first_place"), F.max("place").alias("last_place"), most.alias("most_per_worker"))
+
+
+@query("e8_batch_sizes", """select 64 as size, count(*) // 64 as n_batches from embeddings having count(*) >= 64 union all select count(*) % 64, 1 from embeddings having count(*) % 64 > 0""")
+def e8_sizes(spark, sf):
+    """Every row in one batch, all batches full but the last."""
+    sizes = e8(spark, sf).groupBy("batch").agg(F.count_distinct("pid", "position").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("n_batches"))
+
+
 @query("e9_strided_sample", """with n as (select greatest(1, count(*) // 64 // 3) as stride from o_vec), b as (select vec_id // 64 as batch, pid, position from o_vec)
     select batch, pid, position from b, n where batch % stride = 0 and batch < stride * 3""")
 def e9(spark, sf):

@@ -155,6 +155,8 @@ def test_strict_paths_raise(spark):
     odd = sites.canonical_types(spark.createDataFrame([("Mystery", "K")], "type string, residue string"))
     with pytest.raises(ValueError, match="Mystery"):
         sites.require_known_spellings(odd)
+    with pytest.raises(Exception, match="unmapped type spelling: Mystery"):
+        sites.known_spellings(odd).where("type_status = 'known'").collect()
 
 
 def test_residue_lookup_crosses_chunks(spark):

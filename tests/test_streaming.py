@@ -61,3 +61,25 @@ def test_ingest_resumes_without_repeats(spark, tmp_path):
     versions = folds.state_versions(spark, str(tmp_path / "out" / "rows"))
     got = [r["k"] for r in spark.read.parquet(*[str(tmp_path / "out" / "rows" / f"v={v}") for v in versions]).collect()]
     assert sorted(got) == list(range(15))
+
+
+def test_ingest_keeps_one_row_per_key(spark, tmp_path):
+    rows = spark.createDataFrame([(1,), (1,), (2,)], "k long")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get(folds.KEY_STORE[0])
+    folds.ingest(folds.read_stream(spark, str(tmp_path / "in"), rows), str(tmp_path / "out"), str(tmp_path / "ckpt"), "k")
+    assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out" / "rows" / "v=0")).collect()) == [1, 2]
+    assert spark.conf.get(folds.KEY_STORE[0]) == before
+
+
+def test_concentration_counts_over_several_batches(spark, tmp_path):
+    mark = lambda f: f.select(
+        "latent", "fired", (F.col("latent") % 2).cast("string").alias("stratum"), F.when(F.col("event_id") % 3 > 0, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).alias("types"),
+        F.when(F.col("event_id") % 3 == 0, "hard").alias("tier"))
+    batch = events(spark, str(tmp_path / "in"))
+    stream = folds.read_stream(spark, str(tmp_path / "in"), batch)
+    folds.aggregate(folds.concentration_counts(mark(stream)), str(tmp_path / "state"), str(tmp_path / "ckpt"))
+    got = folds.read_state(spark, str(tmp_path / "state"))
+    assert key(got) == key(folds.concentration_counts(mark(batch)))
+    totals = {r["level"] + (r["label"] or ""): r["n"] for r in got.groupBy("level", "label").agg(F.sum("total").alias("n")).collect()}
+    assert totals == {"stratum": 400, "typea": 266, "typeb": 266, "tierhard": 134}
