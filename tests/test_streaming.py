@@ -13,7 +13,7 @@ def events(spark, folder, parts=4):
 
 
 def key(frame):
-    return sorted(tuple(r) for r in frame.select(*sorted(frame.columns)).collect())
+    return sorted((tuple(r) for r in frame.select(*sorted(frame.columns)).collect()), key=repr)
 
 
 def run(spark, tmp_path, merge):
