@@ -16,8 +16,10 @@ from sitelake.llm.common import stored
 class Search:
     k: int = 5
     sample: int = 20_000  # rows that centroids, probes and first thresholds are fitted on
+    share: float = 0.125  # of the vectors that the sample holds at most
     most_lists: int = 1024
-    exact_below: int = 4096  # so few vectors are one list
+    exact_below: int = 4096  # of so few vectors all lists are probed
+    few_lists: int = 4  # built at least, as far as the sample has so many rows
     recall: float = 0.97  # aimed at when the number of probed lists is chosen on the sample
     block_rows: int = 4096  # vectors, and queries, of one block of a list
     columns: int = 16  # of a step of the scan
@@ -110,7 +112,7 @@ def nearest(embeddings: DataFrame, queries: str, search: Search = Search(), id_c
 
     Nearness is the largest cosine; ties go to the smaller id; a query's own row is no candidate. Equal vectors are one class, of which the k + 1 smallest ids
     can be neighbours; classes are searched, then replaced by those ids. Centroids, probes and each query's first limit come from a
-    bounded sample of the classes; every class is assigned to a list. Lists are cut into blocks of ``block_rows`` and so are the queries that probe them,
+    bounded sample of the classes, a small share of them, and nothing else does: every class is assigned to a list, and only the scan of lists finds neighbours. Lists are cut into blocks of ``block_rows`` and so are the queries that probe them,
     so no task holds a whole hot list. The final scores are computed from the original vectors in double precision.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor those of another length than most have (of equally frequent ones the longer).
@@ -134,13 +136,14 @@ def nearest(embeddings: DataFrame, queries: str, search: Search = Search(), id_c
     asked = rows.where(queries).select("vec_id", "vector").distinct()
     asked = stored(asked.join(leaders, "vector").select(F.col("vec_id").alias("query_id"), "class"), "ann-queries")
 
-    sample_rows = leaders.orderBy(F.xxhash64("class"), "class").limit(search.sample).collect()
+    sample_rows = leaders.orderBy(F.xxhash64("class"), "class").limit(min(search.sample, max(1, int(count * search.share)))).collect()
     sample = _unit(np.array([r["vector"] for r in sample_rows]))
-    lists = 1 if count <= search.exact_below else int(min(search.most_lists, np.sqrt(count), len(sample) // 20))
+    tried = np.arange(len(sample)) % 4 == 3  # the lists aren't fitted on them, so they show how deep other rows lie
+    lists = min(int((~tried).sum()), max(search.few_lists, int(min(search.most_lists, np.sqrt(count), len(sample) // 20))))
     rng = np.random.default_rng(search.seed)
     rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
-    centers = fit_lists(sample, lists, search) if lists > 1 else sample[:1]
-    probes = choose_probes(sample, centers, search) if lists > 1 else 1
+    centers = fit_lists(sample[~tried], lists, search)
+    probes = lists if count <= search.exact_below or tried.sum() <= search.k + 1 else choose_probes(sample[tried], centers, search)
     fitted = spark.sparkContext.broadcast((rotation, centers, sample, np.array([r["class"] for r in sample_rows])))
 
     def assign(batches):
@@ -172,17 +175,15 @@ def nearest(embeddings: DataFrame, queries: str, search: Search = Search(), id_c
                 top = np.argpartition(-scores, best - 1, axis=1)[:, :best]
                 kth = np.take_along_axis(scores, top, axis=1).min(axis=1)
                 limit = np.where((kth > -2) & (scores.shape[1] > k), 2 - 2 * kth + 1e-5, 5.0)
-                known = [near_ids[t] for t in top]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array(probed, pa.list_(pa.int32())), pa.array(limit), pa.array(list((unit @ turn).astype(np.float32)), pa.list_(pa.float32())), pa.array(known, pa.list_(pa.int64()))],
-                    names=["class", "lists", "limit", "rotated", "known"])
+                    [pa.array(own), pa.array(probed, pa.list_(pa.int32())), pa.array(limit), pa.array(list((unit @ turn).astype(np.float32)), pa.list_(pa.float32()))],
+                    names=["class", "lists", "limit", "rotated"])
 
     wanted = leaders.join(asked.select("class").distinct(), "class", "left_semi").select("class", "vector")
-    prepared = stored(wanted.mapInArrow(prepare, "class bigint, lists array<int>, limit double, rotated array<float>, known array<bigint>"), "ann-prepared")
+    prepared = stored(wanted.mapInArrow(prepare, "class bigint, lists array<int>, limit double, rotated array<float>"), "ann-prepared")
 
     found = _probe(spark, assigned, prepared, sizes, search, keep)
-    pairs = found.unionByName(prepared.select(F.col("class").alias("query"), F.explode("known").alias("found"))).unionByName(
-        prepared.select(F.col("class").alias("query"), F.col("class").alias("found"))).distinct()
+    pairs = found.unionByName(prepared.select(F.col("class").alias("query"), F.col("class").alias("found"))).distinct()
     vector = lambda name: leaders.select(F.col("class").alias(name), F.col("vector").alias(f"{name}_vector"))
     dot = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
     exact = pairs.join(vector("query"), "query").join(vector("found"), "found")

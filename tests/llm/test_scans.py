@@ -175,3 +175,33 @@ def test_nearest_recall_with_lists(spark):
         hits += len(set(found["vec_id"]) & set(ids[np.argsort(-scores)[:5]]))
         total += 5
     assert hits / total >= 0.9
+
+
+def recall(spark, folder, queries, search):
+    """Share of the true five nearest that are found, and how many neighbours the queries got."""
+    table_ = table(spark, folder, "embeddings")
+    rows = table_.toPandas()
+    ids, unit = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    got = ann.nearest(table_, queries, search).toPandas().groupby("query_id")["vec_id"].agg(set)
+    at = {v: i for i, v in enumerate(ids)}
+    hits = 0
+    for q, found in got.items():
+        scores = unit @ unit[at[q]]
+        scores[at[q]] = -2
+        hits += len(found & set(ids[np.argpartition(-scores, 5)[:5]]))
+    return hits / (5 * len(got)), {len(f) for f in got}
+
+
+def test_nearest_recall_with_a_sample_far_smaller_than_the_table(spark):
+    found, sizes = recall(spark, "/root/testdata/sf0.1", "vec_id % 20 = 0", ann.Search(sample=100, exact_below=200, block_rows=64))
+    assert found >= 0.9 and sizes == {5}
+
+
+def test_nearest_finds_only_what_the_lists_hold(spark, monkeypatch):
+    """The sample gives no neighbours of its own and holds a small part of the table."""
+    fitted = []
+    monkeypatch.setattr(ann, "fit_lists", lambda sample, lists, search, fit=ann.fit_lists: fitted.append((len(sample), lists)) or fit(sample, lists, search))
+    monkeypatch.setattr(ann, "_probe", lambda spark, *_: spark.createDataFrame([], "query bigint, found bigint"))
+    assert ann.nearest(table(spark, "/root/testdata/sf0.01", "embeddings"), "vec_id % 50 = 0").count() == 0
+    assert len(fitted) == 1 and fitted[0][0] <= 500 / 8 and fitted[0][1] > 1
