@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -90,6 +91,28 @@ def test_licenses(spark, edge, none):
     assert license_scan.scan(edge).count() == len(EDGE) and license_scan.scan(none).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    """Notices over several lines: in comments, with words missing or added, and words of a notice too far apart to be one."""
+    rng, texts, want = random.Random(7), [], []
+    for label, notice in license_scan.TEMPLATES:
+        for width in (72, 40, 20, 12):
+            for mark in ("", "# ", " * ", "// "):
+                body = f"{'Intro ' * rng.randrange(12)}{notice} {'Further words follow here. ' * rng.randrange(6)}"
+                texts.append("Some title\n\n" + "\r\n".join(mark + line for line in textwrap.wrap(body, width, break_long_words=False)) + "\nend")
+                want.append({label})
+    mit = next(t for _, t in license_scan.TEMPLATES if len(t.split()) > 25)
+    real = mit.replace("documentation files, to", 'documentation files (the "Software"), to')
+    texts += ["\n".join(textwrap.wrap(x, 72)) for x in (real, mit.replace("charge", "x"), " ".join(mit.split()[:18]))]
+    want += [{"mit"}, {"mit"}, set()]
+    texts.append("GNU is\nsaid to be a\nGeneral term of a Public kind, no\nLicense has a\nversion, nor 3 of them, and the rest goes on")
+    want.append(set())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    for i, labels in enumerate(want):
+        assert set(filter(None, got[i]["labels"].split(","))) == labels, texts[i]
+        assert got[i]["score"] >= license_scan.THRESHOLD if labels else got[i]["score"] == 0
+
+
 def test_url_filter(spark):
     urls = {1: "HTTP://WWW.Example.COM/en/a", 2: "http://example.com/en/a?x#y", 3: "http://a.example.com/en/", 4: "http://a.com", 5: "http://x.net/es/1", 6: "http://net/fr/?", 7: "x.net/es/", 8: None, 9: "http://xnet/es/", 10: "https://s.org/p/?utm_source=f#q", 11: "https://s.org/q", 12: "a://b://c.com/", 13: "https://m.s.org/p.html?ref=z"}
     pages = spark.createDataFrame(list(urls.items()) + [(10, urls[10])], "page_id long, url string").selectExpr("*", "1 as host", "2 as canonical")
