@@ -14,11 +14,12 @@ from sitelake.llm.common import stored, table
 from sitelake.session import ship_package
 
 # A score of 0.5 is a classifier that neither claims nor disowns a text; texts in two languages come close to it and stay.
+# Unlearned languages come close to it too: texts that the landmarks don't cover go whatever their score.
 LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.accepted_rows(docs, least=LEAST_SCORE)
+    return language_id.accepted_rows(docs, least=LEAST_SCORE, learned_only=True)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

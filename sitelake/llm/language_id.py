@@ -33,10 +33,13 @@ class Sampling:
 @dataclass(frozen=True)
 class Model:
     """Scores of a presence vector p: p @ weights / norm of p. ``weights`` is P_L^T A: the landmarks' normalised presence rows
-    times the dual coefficients, so one product gives k(x, L) A."""
+    times the dual coefficients, so one product gives k(x, L) A. ``seen`` marks the features that landmarks have; a text of which a
+    smaller share than ``floor`` is seen is in no learned language (see ``coverage_floor``)."""
 
     languages: tuple[str, ...]
     weights: np.ndarray
+    seen: np.ndarray
+    floor: float = 0.0
 
 
 def presence(texts: list[str]) -> Iterator[np.ndarray]:
@@ -109,6 +112,21 @@ def _columns(landmarks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def coverage_floor(landmarks: list[np.ndarray], labels: list[str]) -> float:
+    """Half-way between the share of its features that a landmark of a learned language has in common with the others (low quantile) and the
+    share that it has with those of other languages alone (median): what an unlearned language would have. Margins don't tell the two
+    apart: those of a mixed text and of an unknown one are both near 0. Texts of several learned languages are covered like any other."""
+    rows = {r.tobytes(): (r, label) for r, label in zip(landmarks, labels)}  # equal texts say nothing of others
+    counts = {label: np.zeros(BUCKETS, dtype=np.int64) for label in set(labels)}
+    for r, label in rows.values():
+        counts[label][r] += 1
+    total = sum(counts.values())
+    learned = [np.mean(total[r] > 1) for r, _ in rows.values()]
+    foreign = [np.mean(total[r] > counts[label][r]) for r, label in rows.values()]
+    known, other = np.quantile(learned, 0.05), np.median(foreign)
+    return float(min(known, (known + other) / 2))
+
+
 def train(labelled: DataFrame, sampling: Sampling = Sampling()) -> Model:
     """Learns from rows (id, text, label) with a label; at most ``sampling.rows_per_language`` of each, chosen by a hash of the id.
 
@@ -122,14 +140,15 @@ def train(labelled: DataFrame, sampling: Sampling = Sampling()) -> Model:
     if len(languages) > sampling.most_languages:
         raise ValueError(f"more than {sampling.most_languages} languages")
     if not languages:
-        return Model((), np.zeros((BUCKETS, 0), dtype=np.float32))
+        return Model((), np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(BUCKETS, dtype=bool))
     picked = F.broadcast(chosen.select("id", "rank").dropDuplicates(["id"]))  # at most rows_per_language x most_languages
     rows = labelled.where("label is not null and text is not null").join(picked, "id")
     features = stored(rows.select("label", "text").repartition(4).mapInArrow(_features, "label string, features array<int>").where("size(features) > 0"), "language-features")
     mark = F.expr("row_number() over (partition by label order by xxhash64(features))")
-    landmarks = [np.asarray(r[0]) for r in features.withColumn("rank", mark).where(F.col("rank") <= sampling.landmarks_per_language).select("features").collect()]
+    marked = features.withColumn("rank", mark).where(F.col("rank") <= sampling.landmarks_per_language).select("features", "label").collect()
+    landmarks = [np.asarray(r[0]) for r in marked]
     if not landmarks:
-        return Model((), np.zeros((BUCKETS, 0), dtype=np.float32))
+        return Model((), np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(BUCKETS, dtype=bool))
     m, c = len(landmarks), len(languages)
     squares, cross, counts = np.zeros((c, m, m)), np.zeros((c, m)), np.zeros(c)
     for r in features.coalesce(4).mapInArrow(_moments(landmarks, languages), "squares binary, cross binary, counts binary").collect():
@@ -144,40 +163,44 @@ def train(labelled: DataFrame, sampling: Sampling = Sampling()) -> Model:
     root = vectors[:, good] / np.sqrt(values[good])  # Nyström map: z -> z root
     targets = 2 * (weigh[:, None] * cross) - (weigh[:, None] * cross).sum(axis=0)  # one against the rest, +1 and -1
     dual = root @ np.linalg.solve(root.T @ total @ root + sampling.ridge * np.eye(int(good.sum())), root.T @ targets.T)
-    return Model(tuple(languages), (table @ dual.astype(np.float32)).astype(np.float32))
+    return Model(tuple(languages), (table @ dual.astype(np.float32)).astype(np.float32), table.any(axis=1), coverage_floor(landmarks, [r[1] for r in marked]))
 
 
 def _predict(bundle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, weights = bundle.value
+        languages, weights, seen, floor = bundle.value
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             sizes = np.zeros(len(texts), dtype=np.int64)
-            scores = np.zeros((len(texts), max(len(languages), 1)))
+            scores, covered = np.zeros((len(texts), max(len(languages), 1))), np.zeros(len(texts), dtype=bool)
             for a in range(0, len(texts), BLOCK):  # rows of presence times weights, a block of texts at a time
                 found = list(presence(texts[a : a + BLOCK]))
                 sizes[a : a + BLOCK] = [len(f) for f in found]
                 some = np.flatnonzero(sizes[a : a + BLOCK])
                 if len(languages) and len(some):
                     own = sizes[a + some]
-                    rows = weights[np.concatenate([found[i] for i in some])]
-                    scores[a + some] = np.add.reduceat(rows, np.cumsum(own) - own, axis=0) / np.sqrt(own)[:, None]
+                    features = np.concatenate([found[i] for i in some])
+                    scores[a + some] = np.add.reduceat(weights[features], np.cumsum(own) - own, axis=0) / np.sqrt(own)[:, None]
+                    share = np.add.reduceat(seen[features].astype(np.int64), np.cumsum(own) - own) / own
+                    # A text that a classifier claims may fall short by three standard errors; features count as a third, as n-grams overlap.
+                    spare = np.where(scores[a + some].max(axis=1) >= 0, 3 * np.sqrt(floor * (1 - floor) * len(ORDERS) / own), 0)
+                    covered[a + some] = share >= floor - spare
             best = scores.argmax(axis=1)
             known = (sizes > 0) & bool(languages)
             names = [languages[b] if k else UNKNOWN for b, k in zip(best, known)]
             sure = np.where(known, np.clip((1 + scores[np.arange(len(best)), best]) / 2, 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(sure, pa.float64()), pa.array(covered, pa.bool_())], names=[*batch.schema.names[:-1], "lang_pred", "score", "covered"])
 
     return run
 
 
 def predict(rows: DataFrame, model: Model, text_col: str, keep: list[Column]) -> DataFrame:
-    """``keep`` columns (named), lang_pred and score of every row of ``rows``."""
+    """``keep`` columns (named), lang_pred, score and covered, whether landmarks have enough of its features, of every row of ``rows``."""
     spark = rows.sparkSession
-    bundle = spark.sparkContext.broadcast((model.languages, model.weights))  # BUCKETS x languages floats
+    bundle = spark.sparkContext.broadcast((model.languages, model.weights, model.seen, model.floor))  # BUCKETS x languages floats
     source = rows.select(*keep, F.col(text_col).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(_predict(bundle), f"{schema}{', ' if schema else ''}lang_pred string, score double")
+    return source.mapInArrow(_predict(bundle), f"{schema}{', ' if schema else ''}lang_pred string, score double, covered boolean")
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -195,14 +218,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     doc_id = F.col(id_col)
     labelled = docs.where(~fold_of(doc_id)).select(doc_id.cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("label"))
-    return predict(docs, train(labelled, sampling), text_col, [doc_id.cast("bigint").alias("doc_id"), fold_of(doc_id).alias("held_out")])
+    return predict(docs, train(labelled, sampling), text_col, [doc_id.cast("bigint").alias("doc_id"), fold_of(doc_id).alias("held_out")]).drop("covered")
 
 
-def accepted_rows(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sampling: Sampling = Sampling()) -> DataFrame:
-    """The rows of ``docs`` with all their columns, without those of unknown language or a score below ``least``. The columns pass
-    through the scoring task, so nothing is shuffled."""
+def accepted_rows(docs: DataFrame, least: float = 0.5, learned_only: bool = False, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sampling: Sampling = Sampling()) -> DataFrame:
+    """The rows of ``docs`` with all their columns, without those of unknown language or a score below ``least`` and, with
+    ``learned_only``, without texts that no learned language covers (see ``coverage_floor``). The columns pass through the scoring task, so nothing is shuffled."""
     doc_id = F.col(id_col)
     labelled = docs.where(~fold_of(doc_id)).select(doc_id.cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("label"))
     kept = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(docs.columns)]
     found = predict(docs, train(labelled, sampling), text_col, kept)
+    if learned_only:
+        found = found.where("covered")
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)])
