@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelake.llm import ann, exact_dedup, language_id, license_scan, mixing, near_dedup, packing, token_counts, url_filter, warc
+from sitelake.llm import ann, centroids, decontamination, exact_dedup, language_id, license_scan, mixing, near_dedup, packing, resampling, token_counts, url_filter, warc
 from sitelake.llm.common import table
 
 
@@ -26,6 +26,9 @@ PLANS = {
     "op8_near_dedup": _over("documents", lambda docs: near_dedup.near_classes(docs).drop("print")),
     "op9_exact_dedup": _over("documents", exact_dedup.dedup_once),
     "op10_language_id": _over("documents", language_id.identify),
+    "op11_centroids": _over("embeddings", centroids.cluster),
+    "op12_resampling": lambda spark, sf_dir: resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op13_decontamination": lambda spark, sf_dir: decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
 # The others tokenize, learn, sample or search; tests/llm holds them against brute force.
@@ -34,4 +37,7 @@ ORACLES = {
     "op5_warc": warc.SQL,
     "op7_url_filter": url_filter.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op11_centroids": centroids.sql(),
+    "op12_resampling": resampling.SQL,
+    "op13_decontamination": decontamination.SQL,
 }
