@@ -29,3 +29,11 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(name: str, frame: DataFrame) -> str:
+    """``name``, with underscores before it until the frame has no column of that name."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

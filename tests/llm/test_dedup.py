@@ -39,6 +39,50 @@ def test_index_meets_later_batches(spark):
     assert index.rows().count() == 3
 
 
+def test_index_opened_again(spark):
+    """A second object, and a session of another shuffle width, find every digest; another bucket count is refused."""
+    where = shared_folder(spark, "index")
+    batch = spark.range(500).selectExpr("id as doc_id", "concat('t', id) as text")
+    exact_dedup.dedup(batch, exact_dedup.DigestIndex(spark, where, 3)).count()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        index = exact_dedup.DigestIndex(spark, where)
+        assert index.buckets == 3
+        assert exact_dedup.dedup(batch, index).where("kept").count() == 500 and index.rows().count() == 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError, match="3 buckets"):
+        exact_dedup.DigestIndex(spark, where, 5)
+
+
+def test_hot_text_is_split(spark):
+    """Nearly all rows hold one text: the last join is a skewed one that the session splits."""
+    docs = spark.range(40_000).selectExpr("id as doc_id", "if(id % 40 > 0, '', concat('t', id)) as text").repartition(8)
+    held = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = exact_dedup.dedup_once(docs)
+        assert rows.where("kept").count() == 1_001
+        rows.collect()
+        assert "skewed" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_columns_of_the_caller_come_back(spark):
+    names = ["near_key", "near_print", "near_no", "near_rows", "dedup_key", "dedup_digest", "dedup_no", "last_rows"]
+    docs = spark.range(30).selectExpr("id div 2 as doc_id", "concat('some words of text number ', id div 2) as text", *[f"concat('{n}', id) as {n}" for n in names])
+    for rows in (exact_dedup.kept_rows(docs), near_dedup.kept_rows(docs)):
+        assert rows.columns == docs.columns
+        got = rows.collect()
+        assert len(got) in (15, 30) and all(r[n].startswith(n) for r in got for n in names)
+        assert len({tuple(r[n][len(n):] for n in names) for r in got}) == len(got)
+
+
 def words(rng, n):
     return [rng.choice(["re", "ha", "tion", "ou", "st", "ble"]) + rng.choice("abcdefghij") + str(rng.randint(0, 400)) for _ in range(n)]
 
