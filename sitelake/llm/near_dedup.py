@@ -11,11 +11,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelake.llm import text as tx
-from sitelake.llm.common import shared_folder, stored, width
+from sitelake.llm.common import shared_folder, stored, unused, width
 from sitelake.operators.components import components
 
 
@@ -364,14 +364,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows.where("bands is not null").select("row", "doc_id", "print", "h1", "h2").join(nodes, ["h1", "h2"]).select("row", "doc_id", "print", "node")
         .unionByName(rows.where("bands is null").select("row", "doc_id", "print", F.col("row").alias("node"))), "near-classed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    groups = classed.groupBy("node").agg(first.alias("first"), F.count("*").alias("class_size"))
+    # Written first, so that the last join is between two plain shuffles and a hot class may be split.
+    groups = stored(classed.groupBy("node").agg(first.alias("first"), F.count("*").alias("class_size")), "near-groups")
     return classed.join(groups, "node").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"), "print")
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Similarity = Similarity()) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
-    key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(2**63)))
-    kept = near_classes(docs, id_col, text_col, similarity).where("kept").groupBy(key("doc_id").alias("near_key"), F.col("print").alias("near_print")).agg(F.count("*").alias("near_rows"))
-    out = docs.withColumn("near_key", key(id_col)).withColumn("near_print", F.xxhash64(text_col)).join(kept, ["near_key", "near_print"])
-    number = F.expr("row_number() over (partition by near_key, near_print order by near_key)")
-    return out.withColumn("near_no", number).where("near_no <= near_rows").select(*docs.columns)
+    key, print_, rows, number = (unused(n, docs) for n in ("near_key", "near_print", "near_rows", "near_no"))
+    id_key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(2**63)))
+    kept = near_classes(docs, id_col, text_col, similarity).where("kept").groupBy(id_key("doc_id").alias(key), F.col("print").alias(print_)).agg(F.count("*").alias(rows))
+    out = docs.withColumn(key, id_key(id_col)).withColumn(print_, F.xxhash64(text_col)).join(kept, [key, print_])
+    place = F.row_number().over(Window.partitionBy(key, print_).orderBy(key))
+    return out.withColumn(number, place).where(F.col(number) <= F.col(rows)).select(*docs.columns)
