@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelake.llm.common import stored, width
+from sitelake.llm.common import stored, unused, width
 
 # Words of a text: runs of anything but blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,14 +19,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, l
     none is above. Water level: sources by limit / weight, the level is the first at which all below are full.
     The table has one row per source; only that table passes through one task.
     """
-    spark = sizes.sparkSession
-    sizes.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size")).createOrReplaceTempView("mixing_sources")
     weight = " ".join(f"when {i} then {float(w)}D" for i, w in enumerate(weights))
-    ranked = spark.sql(f"""
-        select source, source_size, {float(limit)}D * source_size as most,
-               case (row_number() over (order by source nulls last) - 1) % {len(weights)} {weight} end as weight
-        from mixing_sources""")
-    spark.catalog.dropTempView("mixing_sources")
+    ranked = sizes.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size")).selectExpr(
+        "source", "source_size", f"{float(limit)}D * source_size as most",
+        f"case (row_number() over (order by source nulls last) - 1) % {len(weights)} {weight} end as weight")
     order = "over (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding)"
     filled = ranked.selectExpr(
         "*", f"coalesce(sum(most) {order}, 0D) as full_sum", f"coalesce(sum(weight) {order}, 0D) as full_weight",
@@ -78,13 +74,13 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as ``mix`` copies it. Rows of one id count as one
     document: all are repeated as often as the copies of the id, shared out over them from the first on."""
     id_col = options.get("id_col", "doc_id")
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("mix_key")
-    copies = mix(docs, **options).select(F.coalesce("doc_id", F.lit(-(2**63))).cast("bigint").alias("mix_key"), "copies")
-    copies = copies.groupBy("mix_key").agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows")).where("mix_copies > 0")
-    number = F.expr("row_number() over (partition by mix_key order by mix_key)")
-    share = F.expr("cast(mix_copies div mix_rows + case when mix_no <= mix_copies % mix_rows then 1 else 0 end as int)")
-    out = docs.withColumn("mix_key", key).join(copies, "mix_key").withColumn("mix_no", number).withColumn("mix_share", share).where("mix_share > 0")
-    return out.select(*[F.col(c) for c in docs.columns], F.explode(F.expr("sequence(1, mix_share)")).alias("mix_copy")).select(*docs.columns)
+    key, total, rows, number, share, copy = (unused(n, docs) for n in ("mix_key", "mix_copies", "mix_rows", "mix_no", "mix_share", "mix_copy"))
+    id_key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(2**63)))
+    copies = mix(docs, **options).groupBy(id_key("doc_id").alias(key)).agg(F.sum("copies").alias(total), F.count("*").alias(rows)).where(F.col(total) > 0)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    shares = F.expr(f"cast({total} div {rows} + case when {number} <= {total} % {rows} then 1 else 0 end as int)")
+    out = docs.withColumn(key, id_key(id_col)).join(copies, key).withColumn(number, place).withColumn(share, shares).where(F.col(share) > 0)
+    return out.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(share))).alias(copy)).select(*docs.columns)
 
 
 # The whole query in SQL, for the check of ``mix`` with its defaults.
