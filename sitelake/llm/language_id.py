@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sitelake.llm import text as tx
 from sitelake.llm.common import stored
+from sitelake.operators.sampling import bottom_k
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 18  # n-grams are hashed to so many features
@@ -127,23 +128,42 @@ def coverage_floor(landmarks: list[np.ndarray], labels: list[str]) -> float:
     return float(min(known, (known + other) / 2))
 
 
+def sample_rows(labelled: DataFrame, sampling: Sampling) -> DataFrame:
+    """(label, text): of every label the ``rows_per_language`` rows of least hash of id and text, all if there are fewer.
+
+    Labels are counted first, so only rows whose hash is small enough for about four times as many go on; a label that this leaves short is taken
+    again without that limit. The rest merges in a tree, so what one task meets of a label follows from the bound and not from the input or its splits.
+    Rows are chosen, not ids: an id on many rows fills no more than the bound.
+    """
+    k = sampling.rows_per_language
+    rows = labelled.where("label is not null and id is not null and text is not null").select("label", "text", F.xxhash64("id", "text").alias("hash"), "id")
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(sampling.most_languages + 1).collect()}
+    if len(counts) > sampling.most_languages:
+        raise ValueError(f"more than {sampling.most_languages} languages")
+    if not counts:
+        return rows.select("label", "text")
+    shares = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, 4.0 * k / n))])
+    place = F.shiftrightunsigned("hash", 11).cast("double") / float(2**53)
+    chosen = stored(bottom_k(rows.where(place < F.element_at(shares, F.col("label"))), ["label"], ["hash", "id"], k), "language-sample")
+    found = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
+    short = [label for label, n in counts.items() if found.get(label, 0) < min(k, n)]
+    if short:
+        again = bottom_k(rows.where(F.col("label").isin(short)), ["label"], ["hash", "id"], k)
+        chosen = chosen.where(~F.col("label").isin(short)).unionByName(stored(again, "language-sample"))
+    return chosen.select("label", "text")
+
+
 def train(labelled: DataFrame, sampling: Sampling = Sampling()) -> Model:
-    """Learns from rows (id, text, label) with a label; at most ``sampling.rows_per_language`` of each, chosen by a hash of the id.
+    """Learns from rows (id, text, label) with a label; at most ``sampling.rows_per_language`` of each, see ``sample_rows``.
 
     Landmarks and the sums over the sample are all that reaches the driver: their size depends on ``sampling`` and the
     number of labels, not on the input. More labels than ``most_languages`` are an error.
     """
-    rank = F.expr("row_number() over (partition by label order by xxhash64(id), id)")
-    chosen = stored(
-        labelled.where("label is not null and id is not null and text is not null").select("id", "label").withColumn("rank", rank).where(F.col("rank") <= sampling.rows_per_language), "language-sample")
-    languages = [r[0] for r in chosen.select("label").distinct().limit(sampling.most_languages + 1).sort("label").collect()]
-    if len(languages) > sampling.most_languages:
-        raise ValueError(f"more than {sampling.most_languages} languages")
+    rows = sample_rows(labelled, sampling)
+    languages = [r[0] for r in rows.select("label").distinct().sort("label").collect()]  # most_languages at most
     if not languages:
         return Model((), np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(BUCKETS, dtype=bool))
-    picked = F.broadcast(chosen.select("id", "rank").dropDuplicates(["id"]))  # at most rows_per_language x most_languages
-    rows = labelled.where("label is not null and text is not null").join(picked, "id")
-    features = stored(rows.select("label", "text").repartition(4).mapInArrow(_features, "label string, features array<int>").where("size(features) > 0"), "language-features")
+    features = stored(rows.repartition(4).mapInArrow(_features, "label string, features array<int>").where("size(features) > 0"), "language-features")
     mark = F.expr("row_number() over (partition by label order by xxhash64(features))")
     marked = features.withColumn("rank", mark).where(F.col("rank") <= sampling.landmarks_per_language).select("features", "label").collect()
     landmarks = [np.asarray(r[0]) for r in marked]
