@@ -18,6 +18,7 @@ from sitelake.llm.common import shared_folder, stored
 FRAME_BYTES = 1 << 20  # records of a frame, uncompressed; a longer record is a frame of its own
 BUNDLE_BYTES = 64 << 20  # compressed frames of a bundle
 BUNDLE_RECORDS = 20_000
+READ_BYTES = 8 << 20  # records that one task of a read takes
 LEAST_SHARED = 1000  # shorter payloads are always stored
 # Fixed values of the seekable format: a skippable frame with an entry per frame, closed by the count, a descriptor and a magic number.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -140,9 +141,9 @@ def _write(folder: str, date: str):
 
 def revisits(payloads: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     """(page_id, digest, refers_to) of the rows of (page_id, digest, bytes) that repeat the payload of a row with a larger id.
-    Counts and largest ids are pre-aggregated per task; only rows of shared payloads meet them, in a join whose hot digests the session may split."""
+    Counts and largest ids are pre-aggregated per task and written; the join after that is between two plain shuffles, so the session may split its hot digests."""
     long = payloads.where(F.col("bytes") >= least)
-    groups = long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    groups = stored(long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null"), "warc-digests")
     return long.join(groups, "digest").where("not (page_id <=> refers_to)").select("page_id", "digest", "refers_to")
 
 
@@ -188,8 +189,11 @@ def _read(folder: str):
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of the records that ``index`` names, which may be any rows of it:
-    only their frames are read. A bundle's places are one row, bounded by ``BUNDLE_RECORDS``. Payloads of responses are held against their digest."""
-    places = index.groupBy("bundle").agg(F.collect_list(F.struct("frame", "at", "length")).alias("places"))
+    only their frames are read. A bundle's places are one row, bounded by ``BUNDLE_RECORDS``. Payloads of responses are held against their digest.
+    The shuffle carries places only, so the number of tasks follows from the bytes that are to be read."""
+    wanted = index.agg(F.sum("length").alias("bytes"), F.count_distinct("bundle").alias("bundles")).first()
+    tasks = max(1, min(wanted["bundles"], -(-(wanted["bytes"] or 0) // READ_BYTES)))
+    places = index.repartition(tasks, "bundle").groupBy("bundle").agg(F.collect_list(F.struct("frame", "at", "length")).alias("places"))
     return places.mapInArrow(_read(folder), READ)
 
 
