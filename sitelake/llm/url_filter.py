@@ -31,7 +31,7 @@ def path_of(url: Column) -> Column:
 
 def canonical_of(url: Column) -> Column:
     """host (no leading www. m. blog. mirror label, no default port) + path (no index page, .html or last slash) + query without
-    page-tracking fields; no scheme, no fragment. Empty for null or a url without ``://``."""
+    fields that tell visits or pages of one listing apart (``utm_*``, ``ref``, ``page``: all pages of a listed listing are listed); no scheme, no fragment. Empty for null or a url without ``://``."""
     host = F.regexp_replace(F.regexp_replace(host_of(url), r"^(www|m|blog)\.", ""), r":(80|443)$", "")
     path = F.regexp_replace(path_of(url), r"(/index)?(\.html?)?/*$", "")
     query = F.regexp_extract(rest_of(url), r"^[^?#]*\?([^#]*)", 1)
@@ -96,8 +96,11 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     open_keys = rows.where("rule is null and canonical <> ''").select("canonical").distinct()
     blooms, blocks = bloom_filter(keys, "canonical")
     hits = maybe_listed(open_keys, "canonical", blooms, blocks).join(keys.hint("shuffle_hash"), "canonical", "left_semi").withColumn("hit", F.lit(True))
-    judged = rows.join(hits, "canonical", "left")
-    is_listed = F.coalesce("hit", F.lit(False)) & F.col("rule").isNull()
+    # Only rows that the list can decide are looked up; the others would all share one key. The hits are written, so the lookup is between two plain shuffles.
+    asked = "rule is null and canonical <> ''"
+    found = rows.where(asked).join(stored(hits, "url-hits"), "canonical", "left").select(*rows.columns, "hit")
+    judged = found.unionByName(rows.where(f"not ({asked})").withColumn("hit", F.lit(None).cast("boolean")))
+    is_listed = F.coalesce("hit", F.lit(False))
     return judged.select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(is_listed, "block").otherwise("allow")).alias("verdict"), "canonical", is_listed.alias("listed"))
 
