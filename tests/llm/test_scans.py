@@ -66,13 +66,14 @@ def licenses(text):
         places += found
         base |= {label} if found else set()
     labels = set(base)
-    for line in low.split("\n"):
-        block = set(WORD.findall(line))
-        for label, notice in license_scan.TEMPLATES:
-            own = set(WORD.findall(notice.translate(LOWER)))
-            if len(block & own) / len(own) >= license_scan.THRESHOLD:
+    for label, notice in license_scan.TEMPLATES:
+        own = set(WORD.findall(notice.translate(LOWER)))
+        reach = int(len(WORD.findall(notice.translate(LOWER))) / license_scan.THRESHOLD + 1e-9)
+        for k in range(max(1, len(words) - reach + 1)):
+            share = len(own.intersection(words[k : k + reach])) / len(own)
+            if share >= license_scan.THRESHOLD:
                 labels.add(label)
-                best = max(best, len(block & own) / len(own))
+                best = max(best, share)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if places else best
 
 
@@ -99,7 +100,8 @@ def test_licenses_wrapped(spark):
             for mark in ("", "# ", " * ", "// "):
                 body = f"{'Intro ' * rng.randrange(12)}{notice} {'Further words follow here. ' * rng.randrange(6)}"
                 texts.append("Some title\n\n" + "\r\n".join(mark + line for line in textwrap.wrap(body, width, break_long_words=False)) + "\nend")
-                want.append({label})
+                want.append(set(filter(None, licenses(texts[-1])[-2].split(","))))
+                assert label in want[-1]
     mit = next(t for _, t in license_scan.TEMPLATES if len(t.split()) > 25)
     real = mit.replace("documentation files, to", 'documentation files (the "Software"), to')
     texts += ["\n".join(textwrap.wrap(x, 72)) for x in (real, mit.replace("charge", "x"), " ".join(mit.split()[:18]))]
@@ -113,6 +115,45 @@ def test_licenses_wrapped(spark):
         assert got[i]["score"] >= license_scan.THRESHOLD if labels else got[i]["score"] == 0
 
 
+def test_standard_headers(spark):
+    """Notices as files have them, with the words around them."""
+    texts = {
+        1: "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version. */",
+        2: "// SPDX-License-Identifier: GPL-2.0-or-later", 3: "# SPDX-License-Identifier: BSD-3-Clause\nimport os",
+        4: "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+        5: "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", 6: "licensed under a Creative Commons Attribution 4.0 International License",
+        7: "under the terms of the GNU Lesser General Public License, and no more", 8: "a general licence of the public, and the foundation of free software"}
+    want = {1: "gpl,gpl-3", 2: "gpl-2", 3: "bsd-3", 4: "isc", 5: "cc-by-sa", 6: "cc-by", 7: "lgpl", 8: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan.scan(docs).collect()} == want
+
+
+def test_runs_hold_every_run():
+    """What is left out is part of what is taken, on many small texts."""
+    rng = random.Random(3)
+    for _ in range(300):
+        text, span, least = [rng.randrange(9) for _ in range(rng.randrange(30))], rng.randrange(1, 12), rng.randrange(1, 6)
+        own = [(i, w) for i, w in enumerate(text) if w < 6]
+        taken = [set(r) for r in license_scan.runs_of(own, span, least)]
+        windows = [{w for w in text[i : i + span] if w < 6} for i in range(len(text))]
+        assert all(len(t) >= least and t in windows for t in taken)
+        assert all(any(w <= t for t in taken) for w in windows if len(w) >= least)
+
+
+def test_long_text_takes_linear_time():
+    """A text full of a phrase: ten million bytes in seconds."""
+    import time
+
+    import pyarrow as pa
+
+    phrase, words = license_scan.PHRASES[0][0], license_scan.vocabulary(license_scan.TEMPLATES)
+    notices = [(frozenset(license_scan.words_of(t)), license_scan.need_of(len(set(license_scan.words_of(t))), 0.9), license_scan.reach_of(t, 0.9)) for _, t in license_scan.TEMPLATES]
+    text = f"{phrase} " * (10_000_000 // len(phrase))
+    start = time.time()
+    out = next(license_scan._scan(license_scan.PHRASES, words, notices)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])])))
+    assert out.column("n_base")[0].as_py() == 10_000_000 // len(phrase) and time.time() - start < 30
+
+
 def test_url_filter(spark):
     urls = {1: "HTTP://WWW.Example.COM/en/a", 2: "http://example.com/en/a?x#y", 3: "http://a.example.com/en/", 4: "http://a.com", 5: "http://x.net/es/1", 6: "http://net/fr/?", 7: "x.net/es/", 8: None, 9: "http://xnet/es/", 10: "https://s.org/p/?utm_source=f#q", 11: "https://s.org/q", 12: "a://b://c.com/", 13: "https://m.s.org/p.html?ref=z"}
     pages = spark.createDataFrame(list(urls.items()) + [(10, urls[10])], "page_id long, url string").selectExpr("*", "1 as host", "2 as canonical")
@@ -186,7 +227,7 @@ def test_nearest_small(spark):
 
 
 def test_nearest_recall_with_lists(spark):
-    search = ann.Search(exact_below=200, block_rows=64)
+    search = ann.Search(block_rows=64)
     table_ = table(spark, "/root/testdata/sf0.1", "embeddings")
     data = {r[0]: np.array(r[1], dtype=float) for r in table_.select("vec_id", "embedding").collect()}
     ids = np.array(sorted(data))
@@ -217,7 +258,7 @@ def recall(spark, folder, queries, search):
 
 
 def test_nearest_recall_with_a_sample_far_smaller_than_the_table(spark):
-    found, sizes = recall(spark, "/root/testdata/sf0.1", "vec_id % 20 = 0", ann.Search(sample=100, exact_below=200, block_rows=64))
+    found, sizes = recall(spark, "/root/testdata/sf0.1", "vec_id % 20 = 0", ann.Search(sample=100, block_rows=64))
     assert found >= 0.9 and sizes == {5}
 
 
