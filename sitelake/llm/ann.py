@@ -15,10 +15,10 @@ from sitelake.llm.common import stored
 @dataclass(frozen=True)
 class Search:
     k: int = 5
-    sample: int = 20_000  # rows that centroids, probes and first thresholds are fitted on
+    sample: int = 80_000  # rows that centroids, probes and first thresholds are fitted on
+    sample_bytes: int = 64 << 20  # of them at most, as doubles
     share: float = 0.125  # of the vectors that the sample holds at most
-    most_lists: int = 1024
-    exact_below: int = 4096  # of so few vectors all lists are probed
+    most_lists: int = 4096
     few_lists: int = 4  # built at least, as far as the sample has so many rows
     recall: float = 0.97  # aimed at when the number of probed lists is chosen on the sample
     block_rows: int = 4096  # vectors, and queries, of one block of a list
@@ -56,7 +56,9 @@ def fit_lists(sample: np.ndarray, lists: int, search: Search) -> np.ndarray:
 
 
 def choose_probes(sample: np.ndarray, centers: np.ndarray, search: Search) -> int:
-    """The fewest probed lists with which sample rows find their nearest sample rows as often as ``recall`` asks."""
+    """The fewest probed lists with which sample rows find their nearest sample rows as often as ``recall`` asks; all lists, if there are too few rows to ask."""
+    if len(sample) <= search.k + 1:
+        return len(centers)
     some = sample[:: max(1, len(sample) // 300)]
     scores = some @ sample.T
     scores[np.arange(len(some)), np.arange(0, len(sample), max(1, len(sample) // 300))] = -2
@@ -72,6 +74,7 @@ def scan_block(query: np.ndarray, limit: float, block: np.ndarray, search: Searc
 
     Distances grow by ``columns`` coordinates at a time. After d of D coordinates of randomly rotated vectors, the partial squared
     distance times D/d estimates the whole; a candidate whose estimate exceeds the limit by (1 + epsilon / sqrt(d)) squared is abandoned.
+    After the first step the ``keep`` candidates nearest so far are measured whole: the farthest of them is a limit for all others.
     """
     dims = block.shape[1]
     alive, partial = np.arange(len(block)), np.zeros(len(block))
@@ -79,6 +82,9 @@ def scan_block(query: np.ndarray, limit: float, block: np.ndarray, search: Searc
         b = min(dims, a + search.columns)
         step = block[alive, a:b] - query[a:b]
         partial = partial + np.einsum("ij,ij->i", step, step)
+        if a == 0 and b < dims and len(alive) > keep:
+            whole = block[alive[np.argpartition(partial, keep - 1)[:keep]]] - query
+            limit = min(limit, float(np.einsum("ij,ij->i", whole, whole).max()) * (1 + 1e-6) + 1e-9)
         bound = limit if b == dims else limit * b / dims * (1 + search.epsilon / np.sqrt(b)) ** 2
         good = partial <= bound
         alive, partial = alive[good], partial[good]
@@ -112,7 +118,7 @@ def nearest(embeddings: DataFrame, queries: str, search: Search = Search(), id_c
 
     Nearness is the largest cosine; ties go to the smaller id; a query's own row is no candidate. Equal vectors are one class, of which the k + 1 smallest ids
     can be neighbours; classes are searched, then replaced by those ids. Centroids, probes and each query's first limit come from a
-    bounded sample of the classes, a small share of them, and nothing else does: every class is assigned to a list, and only the scan of lists finds neighbours. Lists are cut into blocks of ``block_rows`` and so are the queries that probe them,
+    bounded sample of the classes, a small share of them, and nothing else does: every class is assigned to a list, and only the scan of lists finds neighbours, at every size of the table. Lists are cut into blocks of ``block_rows`` and so are the queries that probe them,
     so no task holds a whole hot list. The final scores are computed from the original vectors in double precision.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor those of another length than most have (of equally frequent ones the longer).
@@ -128,22 +134,21 @@ def nearest(embeddings: DataFrame, queries: str, search: Search = Search(), id_c
     dims = lengths[0]["dims"]
     # -0.0 and 0.0 are one number; so are vectors that differ in them alone.
     rows = rows.where(F.size("vector") == dims).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
-    order = "over (partition by vector order by vec_id)"
-    members = stored(
-        rows.selectExpr("vec_id", "vector", f"dense_rank() {order} as place").where(f"place <= {k + 1}").dropDuplicates(["vec_id", "place"]), "ann-members")
-    leaders = members.where("place = 1").select(F.col("vec_id").alias("class"), "vector")
+    # Two shuffles of vectors: one that groups equal ones, one that tells every row its class; from there on ids and classes are enough.
+    leaders = stored(rows.groupBy("vector").agg(F.min("vec_id").alias("class")).select("class", "vector"), "ann-classes")
+    ids = stored(rows.join(leaders, "vector").select("vec_id", "class").distinct(), "ann-ids")
+    members = ids.withColumn("place", F.expr("row_number() over (partition by class order by vec_id)")).where(f"place <= {k + 1}").select("vec_id", "class")
     count = leaders.count()
-    asked = rows.where(queries).select("vec_id", "vector").distinct()
-    asked = stored(asked.join(leaders, "vector").select(F.col("vec_id").alias("query_id"), "class"), "ann-queries")
+    asked = stored(ids.where(queries).select(F.col("vec_id").alias("query_id"), "class"), "ann-queries")
 
-    sample_rows = leaders.orderBy(F.xxhash64("class"), "class").limit(min(search.sample, max(1, int(count * search.share)))).collect()
+    sample_rows = leaders.orderBy(F.xxhash64("class"), "class").limit(min(search.sample, search.sample_bytes // (8 * dims), max(1, int(count * search.share)))).collect()
     sample = _unit(np.array([r["vector"] for r in sample_rows]))
     tried = np.arange(len(sample)) % 4 == 3  # the lists aren't fitted on them, so they show how deep other rows lie
     lists = min(int((~tried).sum()), max(search.few_lists, int(min(search.most_lists, np.sqrt(count), len(sample) // 20))))
     rng = np.random.default_rng(search.seed)
     rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
     centers = fit_lists(sample[~tried], lists, search)
-    probes = lists if count <= search.exact_below or tried.sum() <= search.k + 1 else choose_probes(sample[tried], centers, search)
+    probes = choose_probes(sample[tried], centers, search)
     fitted = spark.sparkContext.broadcast((rotation, centers, sample, np.array([r["class"] for r in sample_rows])))
 
     def assign(batches):
@@ -189,7 +194,7 @@ def nearest(embeddings: DataFrame, queries: str, search: Search = Search(), id_c
     exact = pairs.join(vector("query"), "query").join(vector("found"), "found")
     score = F.expr(f"{dot('query_vector', 'found_vector')} / (sqrt({dot('query_vector', 'query_vector')}) * sqrt({dot('found_vector', 'found_vector')}))")
     best = stored(exact.select("query", "found", score.alias("score")).withColumn("place", F.expr("row_number() over (partition by query order by score desc, found)")).where(f"place <= {keep}"), "ann-scores")
-    offered = best.join(members.select(F.col("vec_id"), F.col("vector")).join(leaders, "vector").select("vec_id", F.col("class").alias("found")), "found")
+    offered = best.join(members.select("vec_id", F.col("class").alias("found")), "found")
     # Of a query class: the k + 1 nearest rows, so that k are left for each of its queries.
     order = "over (partition by query order by score desc, vec_id)"
     offered = stored(offered.selectExpr("query", "vec_id", "score", f"row_number() {order} as place").where(f"place <= {k + 1}"), "ann-offered")
@@ -199,15 +204,16 @@ def nearest(embeddings: DataFrame, queries: str, search: Search = Search(), id_c
 
 
 def _probe(spark: SparkSession, assigned: DataFrame, prepared: DataFrame, sizes: dict[int, int], search: Search, keep: int) -> DataFrame:
-    """(query, found): the nearest found in the probed lists. A list has ceil(size / block_rows) blocks of vectors, each query goes to all
-    blocks of its lists, and the queries of a list are cut into blocks likewise."""
+    """(query, found): the nearest found in the probed lists. A list of n vectors that m queries probe is cut into ceil(n / block_rows) blocks and its
+    queries into ceil(m / block_rows) slices: vectors go to the slices of their own list only, so a list that few queries probe is sent once."""
     lists = max(sizes, default=0) + 1
-    blocks = F.array(*[F.lit(-(-sizes.get(i, 0) // search.block_rows) or 1) for i in range(lists)])
-    slices = max(1, -(-prepared.count() // search.block_rows))
-    vectors = assigned.withColumn("block", F.pmod(F.xxhash64("class"), F.element_at(blocks, F.col("list") + 1)).cast("int"))
-    vectors = vectors.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    queries = prepared.select("class", "limit", "rotated", F.explode("lists").alias("list"), F.pmod(F.xxhash64("class"), F.lit(slices)).cast("int").alias("slice"))
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("list") + 1) - 1)))
+    asked = prepared.select("class", "limit", "rotated", F.explode("lists").alias("list"))
+    probed = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}  # at most most_lists rows
+    parts = lambda counts: F.element_at(F.array(*[F.lit(-(-counts.get(i, 0) // search.block_rows) or 1) for i in range(lists)]), F.col("list") + 1)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    slot = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
+    vectors = assigned.withColumn("block", slot(parts(sizes))).withColumn("slice", spread(parts(probed)))
+    queries = asked.withColumn("slice", slot(parts(probed))).withColumn("block", spread(parts(sizes)))
     keys = ["list", "block", "slice"]
     hits = vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_scan(search, keep), "query bigint, found bigint, distance double")
     place = F.expr("row_number() over (partition by query order by distance, found)")
