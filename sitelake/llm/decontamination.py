@@ -16,12 +16,12 @@ from sitelake.session import BROADCAST_LIMIT_BYTES
 class Winnowing:
     window: int = 10  # words of the shortest shared span that is found for certain
     chunk: int = 4096  # words of a text that a row holds
-    bits: int = 2**22  # of the map of the items' fingerprints: 512 kB whatever the tables
+    bits: int = 2**22  # of the map of the items' fingerprints, a power of two: 512 kB whatever the tables
 
     @property
     def span(self) -> int:
         """Grams of a window of which the least is kept."""
-        return min(8, self.window // 2 + 1)
+        return self.window // 2 + 1
 
     @property
     def gram(self) -> int:
@@ -50,32 +50,34 @@ def chunked(texts: DataFrame, how: Winnowing) -> DataFrame:
 
 
 def prints(words: Column, gram: int, span: int, bits: Column | None) -> Column:
-    """Fingerprints of a chunk: of every ``span`` neighbouring runs of ``gram`` words the one of least hash, the last of equal ones, once.
+    """Fingerprints of a chunk: of every ``span`` neighbouring runs of ``gram`` words the one of least hash, the last of equal ones.
 
-    With the map ``bits`` only fingerprints that an item may have. Each carries the words around it that a window through it can hold: ``lead``
-    words before it, and those after. Hashes fold case more widely than A-Z, which may only add candidates. Their low three bits are free
-    for the place in the window, so the least number tells the place too.
+    With the map ``bits`` only fingerprints that an item may have: that test is the cheaper one, so it comes first, and only a run that passes
+    is held against its neighbours. Each fingerprint carries the words around it that a window through it can hold: ``lead``
+    words before it, and those after. Hashes fold case more widely than A-Z, which may only add candidates.
     """
     empty = F.array().cast(f"array<struct<{', '.join(p.replace(' ', ':') for p in PRINT.split(', '))}>>")
 
     def of_hashes(h: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(h) - gram), lambda i: F.xxhash64(*[h[i + j] for j in range(gram)]).bitwiseAND(F.lit(-8)))
+        grams = F.transform(F.sequence(F.lit(1), F.size(h) - (gram - 1)), lambda i: F.xxhash64(F.slice(h, i, gram)))
         return _let(grams, lambda g: of_grams(g) if bits is None else _let(bits, lambda b: of_grams(g, b)))
 
     def of_grams(g: Column, b: Column | None = None) -> Column:
-        if span == 1:
-            places = F.sequence(F.lit(0), F.size(g) - 1)
-        else:
-            least = F.transform(F.sequence(F.lit(0), F.size(g) - span), lambda j: F.least(*[g[j + r] + (span - 1 - r) for r in range(span)]))
-            places = F.array_distinct(F.transform(least, lambda v, j: (j + (span - 1) - v.bitwiseAND(F.lit(7)).cast("int"))))
-        if b is not None:
-            places = F.filter(places, lambda q: known(g[q], b))
+        places = F.sequence(F.lit(0), F.size(g) - 1) if b is None else F.array_compact(F.transform(g, lambda p, i: F.when(known(p, b), i)))
+        if span > 1:
+            places = F.filter(places, lambda q: least(g, q))
         return F.transform(places, lambda q: F.struct(
             F.lit(gram).alias("gram"), F.lit(span).alias("span"), q.alias("at"), g[q].alias("print"), F.least(q, F.lit(span - 1)).alias("lead"), around(q).alias("context")))
 
     def known(p: Column, b: Column) -> Column:
-        place = F.pmod(F.shiftrightunsigned(p, 3), F.size(b).cast("bigint") * 64)
-        return F.getbit(b[F.shiftright(place, 6).cast("int")], place.bitwiseAND(F.lit(63)).cast("int")) == 1
+        word, bit = bit_of(p, F.size(b).cast("bigint"))
+        return F.getbit(b[word.cast("int")], bit) == 1
+
+    def least(g: Column, q: Column) -> Column:
+        """Whether some window has its last least hash here: the smaller ones on both sides are too far apart."""
+        before = count_while([F.coalesce(F.get(g, q - i) >= g[q], F.lit(False)) for i in range(1, span)])
+        after = count_while([F.coalesce(F.get(g, q + i) > g[q], F.lit(False)) for i in range(1, span)])
+        return before + after >= span - 1
 
     def around(q: Column) -> Column:
         first = F.greatest(q - (span - 1), F.lit(0))
@@ -85,11 +87,25 @@ def prints(words: Column, gram: int, span: int, bits: Column | None) -> Column:
     return F.when(F.size(words) >= gram + span - 1, _let(hashes, of_hashes)).otherwise(empty)
 
 
+def count_while(holds: list[Column]) -> Column:
+    """How many conditions hold before the first that doesn't."""
+    out = F.lit(len(holds))
+    for n, condition in reversed(list(enumerate(holds))):
+        out = F.when(~condition, F.lit(n)).otherwise(out)
+    return out
+
+
+def bit_of(print_: Column, longs: Column | int) -> tuple[Column, Column]:
+    """Which of the map's longs (a power of two) has a fingerprint's bit, and which bit it is."""
+    return F.shiftrightunsigned(print_, 6).bitwiseAND(F.lit(longs).cast("bigint") - 1 if isinstance(longs, int) else longs - 1), print_.bitwiseAND(F.lit(63)).cast("int")
+
+
 def item_prints(items: DataFrame, how: Winnowing) -> DataFrame:
     """(gram, span, print, lead, context, of, ids): the items' fingerprints, equal ones with equal surroundings once. An item of fewer
     words than a window is one fingerprint as long as itself."""
-    rows = chunked(items, how)
-    small = [F.when(F.col("n_words") == n, prints(F.col("words"), n, 1, None)) for n in range(1, how.window)]
+    rows = stored(chunked(items, how), "item-words")
+    sizes = [r[0] for r in rows.where(F.col("n_words").between(1, how.window - 1)).select("n_words").distinct().sort("n_words").collect()]  # fewer than window
+    small = [F.when(F.col("n_words") == n, prints(F.col("words"), n, 1, None)) for n in sizes]
     found = rows.select("id", F.explode(F.coalesce(*small, prints(F.col("words"), how.gram, how.span, None))).alias("p")).select("id", "p.*")
     groups = found.groupBy("gram", "span", "print", "lead", "context").agg(F.collect_set("id").alias("ids"))
     return stored(groups.select("*", F.monotonically_increasing_id().alias("of")), "item-prints")
@@ -97,8 +113,8 @@ def item_prints(items: DataFrame, how: Winnowing) -> DataFrame:
 
 def bit_map(prints: DataFrame, how: Winnowing) -> DataFrame:
     """One row: the longs whose set bits are the fingerprints' low bits. Its size is a parameter, not one of the tables."""
-    place = F.pmod(F.shiftrightunsigned("print", 3), F.lit(how.bits))
-    set_ = prints.select(F.shiftright(place, 6).alias("id"), F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(print, 3), {how.bits}L) & 63 as int))").alias("bit"))
+    word, bit = bit_of(F.col("print"), how.bits // 64)
+    set_ = prints.select(word.alias("id"), bit.alias("bit")).select("id", F.expr("shiftleft(1L, bit)").alias("bit"))
     longs = prints.sparkSession.range(how.bits // 64).join(set_.groupBy("id").agg(F.bit_or("bit").alias("long")), "id", "left")
     ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("long", F.lit(0).cast("bigint")).alias("long"))))
     return longs.agg(F.transform(ordered, lambda x: x["long"]).alias("bits"))
@@ -126,17 +142,10 @@ def shared_spans(docs: DataFrame, items: DataFrame, how: Winnowing = Winnowing()
     def same(offset: Column | int) -> Column:
         return F.coalesce(F.get("context", F.col("lead") + offset) == F.get("item_context", F.col("item_lead") + offset), F.lit(False))
 
-    def run(places: list[tuple[Column | int, Column]]) -> Column:
-        """How many of the places agree before the first that doesn't."""
-        out = F.lit(len(places))
-        for n, (offset, inside) in reversed(list(enumerate(places))):
-            out = F.when(~(inside & same(offset)), F.lit(n)).otherwise(out)
-        return out
-
     gram, reach = F.col("gram"), F.col("span") - 1
-    core = run([(i, F.lit(True)) for i in range(how.window)])
-    left = run([(-i, reach >= i) for i in range(1, how.span)])
-    right = run([(gram + i, reach > i) for i in range(how.span - 1)])
+    core = count_while([same(i) for i in range(how.window)])
+    left = count_while([(reach >= i) & same(-i) for i in range(1, how.span)])
+    right = count_while([(reach > i) & same(gram + i) for i in range(how.span - 1)])
     extended = hits.select("row", "of", "gram", "span", core.alias("core"), left.alias("left"), right.alias("right"), (F.col("chunk").cast("bigint") * how.chunk + F.col("at")).alias("at"))
     spans = extended.where("core >= gram and left + gram + right >= gram + span - 1").select("row", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + gram + F.col("right")).alias("end"), "of")
     return marked.where("chunk = 0").select("row", "doc_id", "n_words"), stored(spans, "shared-spans"), prints_of_items
