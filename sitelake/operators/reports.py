@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelake.functions import dims, exprs
+from sitelake.operators.quantiles import exact_quantiles
 
 
 def suggested_strata(traced: DataFrame) -> DataFrame:
@@ -31,14 +32,17 @@ def type_dim(frame: DataFrame) -> DataFrame:
 
 
 def numeric_summary(frame: DataFrame, column: str, group: list[str]) -> DataFrame:
-    """describe() of a text column read as numbers, with the count of values that are not numbers."""
+    """describe() of a text column read as numbers, with the count of values that are not numbers. A group without numbers has no row of quantiles."""
     value = F.expr(f"try_cast({column} as double)")
     rows = frame.select(*group, F.col(column).alias("raw"), value.alias("v"))
-    return rows.groupBy(*group).agg(
+    sums = rows.groupBy(*group).agg(
         F.count("v").alias("n"), F.count_if(F.col("raw").isNotNull() & F.col("v").isNull()).alias("n_coerced"),
-        exprs.rounded(F.avg("v")).alias("mean"), exprs.rounded(F.stddev_samp("v")).alias("std"), F.min("v").alias("min"),
-        exprs.rounded(F.percentile("v", F.lit(0.25))).alias("p25"), exprs.rounded(F.percentile("v", F.lit(0.5))).alias("p50"),
-        exprs.rounded(F.percentile("v", F.lit(0.75))).alias("p75"), F.max("v").alias("max"))
+        exprs.rounded(F.avg("v")).alias("mean"), exprs.rounded(F.stddev_samp("v")).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    found = exact_quantiles(rows, "v", [0.25, 0.5, 0.75], group).groupBy(*group).agg(
+        *[exprs.rounded(F.max(F.when(F.col("share") == p, F.col("value")))).alias(f"p{int(100 * p)}") for p in (0.25, 0.5, 0.75)])
+    other = found.withColumnsRenamed({g: f"{g}_q" for g in group})
+    on = F.expr(" and ".join(f"{g} <=> {g}_q" for g in group) or "true")
+    return sums.join(other if group else F.broadcast(other), on, "left").select(*group, "n", "n_coerced", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def profile(frame: DataFrame, max_values: int = 15) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelake.functions import dims, exprs
+from sitelake.session import BROADCAST_LIMIT_BYTES, cut_lineage
 
 SITE_KEY = ["accession", "position", "type"]
 
@@ -192,12 +193,17 @@ def deduplicate(positives: DataFrame, aux: list[str]) -> DataFrame:
 
 
 def pool_rare_types(sites: DataFrame, by_stratum: bool, floor: int = dims.MIN_SITES_PER_TYPE,
-                    headline: int = dims.MIN_SITES_HEADLINE) -> DataFrame:
-    """Types under the floor pool to '<stratum>::other_PTM'. The naive variant works on stratum 'ALL'."""
+                    headline: int = dims.MIN_SITES_HEADLINE, within: list[str] | None = None) -> DataFrame:
+    """Types under the floor pool to '<stratum>::other_PTM'. The naive variant works on stratum 'ALL'. Counts are per value of ``within``, a few at most; the
+    counts, a row per type known to the tables and value, are measured and broadcast, so the sites are not shuffled by type."""
     rows = sites.withColumn("stratum", stratum_of_type() if by_stratum else F.lit("ALL"))
-    counts = rows.groupBy("stratum", "type").agg(F.count("*").alias("n_type"))
+    keys = [*(within or []), "stratum", "type"]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n_type")).withColumnsRenamed({k: f"{k}_n" for k in keys})
+    few = cut_lineage(counts)
+    if few.count() * 256 <= BROADCAST_LIMIT_BYTES:
+        few = F.broadcast(few)
     return (
-        rows.join(counts, ["stratum", "type"], "left")
+        rows.join(few, F.expr(" and ".join(f"{k} <=> {k}_n" for k in keys)), "left").drop(*[f"{k}_n" for k in keys])
         .withColumn("type_pooled", F.when(F.col("n_type") < floor, F.concat("stratum", F.lit("::other_PTM"))).otherwise(F.col("type")))
         .withColumn("headline_eligible", F.col("n_type") >= headline)
         .drop("n_type")

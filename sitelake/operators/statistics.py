@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelake.functions import dims, exprs
+from sitelake.operators.quantiles import exact_quantiles
 from sitelake.operators.scoring import ROW, partition_sums
+from sitelake.operators.vectors import dimension_sums
+from sitelake.session import cut_lineage
 
 r = exprs.rounded
 
@@ -17,14 +20,17 @@ def long_vectors(vectors: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def dimension_moments(vectors: DataFrame) -> DataFrame:
-    return long_vectors(vectors, []).groupBy("dim").agg(
-        F.avg("x").alias("mean"), F.var_pop("x").alias("var_pop"), F.var_samp("x").alias("var_samp"), F.count("x").alias("n"))
+    squares = F.greatest(F.col("q") - F.col("s") ** 2 / F.col("n"), F.lit(0.0))
+    return dimension_sums(vectors, []).select(
+        "dim", (F.col("s") / F.col("n")).alias("mean"), (squares / F.col("n")).alias("var_pop"), F.when(F.col("n") > 1, squares / (F.col("n") - 1)).alias("var_samp"), "n")
 
 
 def activation_stats(vectors: DataFrame) -> DataFrame:
     """Mean squared norm, norm percentiles, variance share of the five widest dimensions, max |mean| / std."""
-    norms = vectors.select(exprs.sum_squares("vec").alias("s")).agg(
-        r(F.avg("s")).alias("mean_sq_norm"), r(F.percentile(F.sqrt("s"), F.lit(0.5))).alias("norm_p50"), r(F.percentile(F.sqrt("s"), F.lit(0.99))).alias("norm_p99"))
+    squares = vectors.select(exprs.sum_squares("vec").alias("s"))
+    found = cut_lineage(exact_quantiles(squares.select(F.sqrt("s").alias("norm")), "norm", [0.5, 0.99]))
+    quantile = lambda p: r(found.where(F.col("share") == p).select("value").scalar())
+    norms = squares.agg(r(F.avg("s")).alias("mean_sq_norm")).select("*", quantile(0.5).alias("norm_p50"), quantile(0.99).alias("norm_p99"))
     moments = dimension_moments(vectors)
     packed = moments.agg(F.sort_array(F.collect_list("var_samp"), asc=False).alias("v"), F.max(F.abs("mean") / F.sqrt("var_samp")).alias("offset"))  # one value per dimension
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -41,14 +47,16 @@ def evaluation(vectors: DataFrame, codes: DataFrame, reconstruction: DataFrame,
         F.sum((F.col("x") - F.col("y")) ** 2).alias("sse"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") ** 2).alias("xx"),
         F.sum(F.col("y") ** 2).alias("yy"), F.count("*").alias("d"))
     cosine = F.col("xy") / F.greatest(F.sqrt("xx") * F.sqrt("yy"), F.lit(1e-8))
-    sums = per_row.agg(F.sum("sse").alias("sse"), F.sum("d").alias("cells"), F.count("*").alias("rows"), F.avg(cosine).alias("cm"), F.percentile(cosine, F.lit(0.1)).alias("cp"))
+    per_row = cut_lineage(per_row.select("sse", "d", cosine.alias("cosine")))
+    sums = per_row.agg(F.sum("sse").alias("sse"), F.sum("d").alias("cells"), F.count("*").alias("rows"), F.avg("cosine").alias("cm"))
+    low = exact_quantiles(per_row, "cosine", [0.1]).select("value").scalar()
     total = dimension_moments(vectors).agg(F.sum(F.col("var_pop") * F.col("n"))).scalar()
     fired = codes.where("value > 0").groupBy("latent").agg(F.count("*").alias("n")).agg(F.count("*").alias("alive"), F.sum("n").alias("l0"))
     alive, l0 = fired.select("alive").scalar(), fired.select("l0").scalar()
     return sums.select(
         r(F.col("sse") / F.col("cells")).alias("mse"), r(F.greatest(F.lit(0.0), 1 - F.col("sse") / total)).alias("explained_variance"),
         r(F.coalesce(l0, F.lit(0)) / F.col("rows")).alias("l0_mean"), r(1 - alive / F.lit(float(n_latents))).alias("never_fired_fraction"),
-        r("cm").alias("cosine_mean"), r("cp").alias("cosine_p10"))
+        r("cm").alias("cosine_mean"), r(low).alias("cosine_p10"))
 
 
 def density_histogram(codes: DataFrame, n_rows, bins: int = 20) -> DataFrame:
@@ -109,9 +117,8 @@ def spectrum_report(cov: np.ndarray, eigen: np.ndarray) -> dict[str, float]:
 
 def class_variance(vectors: DataFrame, label: str) -> DataFrame:
     """Per class: tokens, mean norm, share of the within-class squares; plus variance explained by the class."""
-    x = long_vectors(vectors, [label])
-    cells = x.groupBy(label, "dim").agg(F.count("x").alias("n"), F.var_pop("x").alias("v"), F.sum("x").alias("s"), F.sum(F.col("x") ** 2).alias("q"))
-    within = cells.groupBy(label).agg(F.sum(F.col("v") * F.col("n")).alias("within"), F.max("n").alias("tokens"))
+    cells = dimension_sums(vectors, [label])
+    within = cells.groupBy(label).agg(F.sum(F.col("q") - F.col("s") ** 2 / F.col("n")).alias("within"), F.max("n").alias("tokens"))
     total = cells.groupBy("dim").agg((F.sum("q") - F.sum("s") ** 2 / F.sum("n")).alias("t")).agg(F.sum("t")).scalar()
     all_within = within.agg(F.sum("within")).scalar()
     norms = vectors.groupBy(label).agg(F.avg(F.sqrt(exprs.sum_squares("vec"))).alias("norm"))
@@ -122,7 +129,7 @@ def class_variance(vectors: DataFrame, label: str) -> DataFrame:
 def end_share(vectors: DataFrame, near_end) -> DataFrame:
     """Share of tokens and of squared deviation at chain ends, and mean norms on both sides."""
     flagged = vectors.withColumn("near_end", near_end)
-    cells = long_vectors(flagged, ["near_end"]).groupBy("near_end", "dim").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") ** 2).alias("q"))
+    cells = dimension_sums(flagged, ["near_end"])
     means = cells.groupBy("dim").agg((F.sum("s") / F.sum("n")).alias("m"))
     deviation = cells.join(F.broadcast(means), "dim").groupBy("near_end").agg(
         F.sum(F.col("q") - 2 * F.col("m") * F.col("s") + F.col("n") * F.col("m") ** 2).alias("dev"), F.max("n").alias("tokens"))

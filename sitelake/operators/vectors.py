@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 ENTRY = "partition string, range bigint, seq bigint, id bigint, length bigint"
@@ -73,21 +75,64 @@ def shard_plan(entries: DataFrame, capacity: int, range_size: int = 1_000_000) -
     return packed.drop("range").withColumn("end_offset", F.col("start_offset") + F.col("length"))
 
 
-def write_vectors(vectors: DataFrame, plan: DataFrame, folder: str) -> None:
-    """Rows laid out by partition and shard, sorted by offset; the index is written last and commits the rest."""
-    index = plan.select("partition", "id", "length", "shard", "start_offset", "end_offset")
-    rows = vectors.join(index.select(F.col("id").alias("pid"), "partition", "shard", "start_offset"), "pid")
-    laid = rows.repartition("partition", "shard").sortWithinPartitions("partition", "shard", "start_offset", "position")
-    laid.select("partition", "shard", "pid", "position", "vec").write.mode("append").partitionBy("partition").parquet(f"{folder}/vectors")
-    mean_vectors(vectors).write.mode("append").parquet(f"{folder}/means")
-    index.write.mode("append").parquet(f"{folder}/index")
+def vector_sums(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, s, q): rows, sums and sums of squares per dimension of each key's vectors in each task. One pass over the
+    vectors as whole matrices; a vector is never a row per dimension."""
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(len(keys)).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(batch.num_rows, -1)
+            table = pa.table(batch.columns[: len(keys)], names=keys).to_pandas()
+            codes, groups = (np.zeros(len(x), dtype="int64"), [()]) if not keys else _codes(table)
+            order = np.argsort(codes, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
+            s, q = np.add.reduceat(x[order], first, axis=0), np.add.reduceat(x[order] ** 2, first, axis=0)
+            n = np.diff(np.r_[first, len(x)])
+            for i, k in enumerate(codes[order][first]):
+                old = held.get(groups[k])
+                held[groups[k]] = [n[i], s[i], q[i]] if old is None else [old[0] + n[i], old[1] + s[i], old[2] + q[i]]
+            if len(held) > SUMS_HELD:
+                yield packed(held)
+                held = {}
+        if held:
+            yield packed(held)
+
+    kinds = [vectors.schema[k].dataType for k in keys]
+    many = [to_arrow_type(t) for t in kinds]
+
+    def packed(held):
+        columns = [pa.array([k[i] for k in held], t) for i, t in enumerate(many)]
+        columns += [pa.array([v[0] for v in held.values()], pa.int64())] + [pa.array([v[j].tolist() for v in held.values()], pa.list_(pa.float64())) for j in (1, 2)]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, "n", "s", "q"])
+
+    schema = ", ".join([f"{k} {t.simpleString()}" for k, t in zip(keys, kinds)] + ["n bigint", "s array<double>", "q array<double>"])
+    return vectors.select(*keys, "vec").mapInArrow(run, schema)
+
+
+SUMS_HELD = 4096  # keys whose sums a task holds before it sends them on
+
+
+def _codes(table: pd.DataFrame) -> tuple[np.ndarray, list[tuple]]:
+    """A number per row for its combination of key values, and the combinations."""
+    rows = list(table.astype(object).where(table.notna(), None).itertuples(index=False, name=None))
+    numbers = {row: i for i, row in enumerate(dict.fromkeys(rows))}
+    return np.array([numbers[row] for row in rows], dtype="int64"), list(numbers)
+
+
+def dimension_sums(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, dim, n, s, q) for few keys: what the tasks added up, by dimension."""
+    parts = vector_sums(vectors, keys).select(*keys, "n", F.posexplode(F.arrays_zip("s", "q")).alias("dim", "x"))
+    return parts.groupBy(*keys, "dim").agg(F.sum("n").alias("n"), F.sum("x.s").alias("s"), F.sum("x.q").alias("q"))
 
 
 def mean_vectors(vectors: DataFrame) -> DataFrame:
-    """(pid, mean_vec): averages per dimension, pre-aggregated before the shuffle."""
-    cells = vectors.select("pid", F.posexplode("vec").alias("dim", "x")).groupBy("pid", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    packed = cells.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("cells"))  # one entry per dimension
-    return packed.select("pid", F.transform("cells", lambda c: c["m"]).alias("mean_vec"))
+    """(pid, mean_vec): every task adds up its rows of an id, so only whole sums are shuffled."""
+    parts = vector_sums(vectors, ["pid"]).groupBy("pid").agg(F.sum("n").alias("n"), F.collect_list("s").alias("parts"))  # one entry per task that holds the id
+    total = F.reduce(F.slice("parts", 2, F.size("parts")), F.get("parts", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return parts.select("pid", F.transform(total, lambda x: x / F.col("n")).alias("mean_vec"))
 
 
 def pooled(index: DataFrame, stored: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -136,7 +181,7 @@ def epoch_order(shards: DataFrame, seed: int, epoch: int, workers: int) -> DataF
     return ranked.withColumn("worker", F.col("place") % workers)
 
 
-def shuffled_batches(rows: DataFrame, key: list[str], seed: int, epoch: int, batch: int, slots: int = 4096) -> DataFrame:
+def shuffled_batches(rows: DataFrame, key: list[str], seed: int, epoch: int, batch: int) -> DataFrame:
     """Every row once, in seeded hash order, with its batch number. Row numbers come from slot counts plus
     the rank within a slot of the hash order."""
     hashed = rows.withColumn("order_hash", F.xxhash64(*key, F.lit(seed), F.lit(epoch))).withColumn("slot", F.shiftright("order_hash", 52))
@@ -157,3 +202,18 @@ def budgeted_sample(index: DataFrame, budget: int) -> DataFrame:
     """Ids in order per shard until the token budget is reached (the last one may overshoot)."""
     w = Window.partitionBy("partition", "shard").orderBy("start_offset").rowsBetween(Window.unboundedPreceding, -1)
     return index.withColumn("before", F.coalesce(F.sum("length").over(w), F.lit(0))).where(F.col("before") < budget).drop("before")
+
+
+def seeded_order(seed: int, *columns: str) -> list:
+    """A shuffled order that any engine can repeat: the hash of seed and key, then the key."""
+    return [F.md5(F.concat_ws(":", F.lit(str(seed)), *columns)), *columns]
+
+
+def seeded_sample(index: DataFrame, tokens: int, shards: int, seed: int) -> DataFrame:
+    """partition, shard, id, length, before: ids of ``shards`` shards drawn by seed, which share the token budget equally. In each shard ids
+    come in an order shuffled by seed until its share is reached (the last one may overshoot); ``before`` counts the tokens ahead of an id."""
+    drawn = index.select("partition", "shard").distinct().orderBy(*seeded_order(seed, "partition", "shard")).limit(shards)
+    share = tokens // max(1, min(shards, drawn.count()))
+    w = Window.partitionBy("partition", "shard").orderBy(*seeded_order(seed, "id")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = index.join(F.broadcast(drawn), ["partition", "shard"])  # as many rows as shards are asked for
+    return rows.withColumn("before", F.coalesce(F.sum("length").over(w), F.lit(0))).where(F.col("before") < share).select("partition", "shard", "id", "length", "before")

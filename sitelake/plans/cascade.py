@@ -114,14 +114,16 @@ def replication_labels(raw: DataFrame, corpus: DataFrame, mask: DataFrame) -> Da
     return sites.enrich(out, talk)
 
 
-def held_out_species_labels(raw: DataFrame, corpus: DataFrame, mask: DataFrame, species: str) -> DataFrame:
-    """Another species: no evidence filter, no partition; unknown spellings are dropped."""
-    ok = valid(trace(raw, corpus, with_evidence=False, strict_types=False))
+def species_labels(raw: DataFrame, corpus: DataFrame, mask: DataFrame, species: str) -> DataFrame:
+    """Labels of all other species in one pass; ``raw`` names a row's species in the column ``species``. No evidence filter, no
+    partition; unknown spellings are dropped, and rare types are pooled within their species."""
+    rows = raw.withColumn("species", F.col(species))
+    ok = valid(trace(rows, corpus, with_evidence=False, strict_types=False))
     kept = sites.drop_masked(ok, mask)
-    deduped = sites.deduplicate(kept, AUX)
-    talk = agreement.crosstalk(agreement.site_masks(kept))
-    pooled = sites.enrich(sites.pool_rare_types(deduped, True), talk)
-    return pooled.withColumn("species", F.lit(species)).withColumn("partition", F.lit("ood"))
+    deduped = cut_lineage(sites.deduplicate(kept, [*AUX, "species"]))
+    talk = agreement.crosstalk(deduped.select(*KEY, F.lit(0).cast("bigint").alias("reporting")))
+    pooled = sites.enrich(sites.pool_rare_types(deduped, True, within=["species"]), talk)
+    return pooled.withColumn("partition", F.lit("ood"))
 
 
 def step_log(traced: DataFrame) -> DataFrame:

@@ -73,7 +73,10 @@ def with_views(body: str) -> str:
                 visit(VIEWS[name])
 
     visit(body)
-    ctes = ",\n".join(f"{name} as ({VIEWS[name]})" for name in VIEWS if name in needed)
+    # A view that is read more than once is computed once.
+    texts = [VIEWS[name] for name in needed] + [body]
+    often = {name for name in needed if sum(len(re.findall(rf"\b{name}\b", text)) for text in texts) > 1}
+    ctes = ",\n".join(f"{name} as {'materialized ' if name in often else ''}({VIEWS[name]})" for name in VIEWS if name in needed)
     body = body.strip()
     if not ctes:
         return body

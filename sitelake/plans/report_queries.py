@@ -324,7 +324,7 @@ def d32(spark, sf):
 def d33(spark, sf):
     c = full(spark, sf, materialize=True)
     gold = agreement.gold_negatives(I.gold_rows(spark, sf), c.deduped)
-    other = cascade.held_out_species_labels(I.raw_sites(spark, sf).where("lang = 'de'"), I.sequences(spark, sf), c.mask, "de")
+    other = cascade.species_labels(I.raw_sites(spark, sf), I.sequences(spark, sf), c.mask, "lang")
     return reports.contract_checks(I.proteins(spark, sf), c.labels(), c.labels(False), c.mask, gold, other)
 
 
@@ -334,14 +334,14 @@ def g7(spark, sf):
     return labels(spark, sf)
 
 
-@query("g7_species_labels", """with d as (select accession, position, type, min(residue) as residue, count(distinct source) as source_count from o_traced t where lang = 'de' and type_status = 'known' and reason is null
-      and not exists (select 1 from o_mask m where m.accession = t.accession and m.position = t.position and m.type = t.type) group by accession, position, type)
-    select accession, position, d.type, t.stratum, residue, source_count, 'de' as species, 'ood' as partition,
-      case when count(*) over (partition by d.type) < 200 then t.stratum || '::other_PTM' else d.type end as type_pooled,
+@query("g7_species_labels", """with d as (select accession, position, type, min(residue) as residue, count(distinct source) as source_count, min(lang) as species from o_traced t
+      left join (select distinct accession, position, type, true as masked from o_mask) m using (accession, position, type) where type_status = 'known' and reason is null and masked is null group by accession, position, type)
+    select accession, position, d.type, t.stratum, residue, source_count, species, 'ood' as partition,
+      case when count(*) over (partition by species, d.type) < 200 then t.stratum || '::other_PTM' else d.type end as type_pooled,
       count(*) over (partition by accession, position) > 1 as crosstalk from d join o_types t on d.type = t.type""")
 def g7_species(spark, sf):
-    mask = full(spark, sf).mask
-    out = cascade.held_out_species_labels(I.raw_sites(spark, sf).where("lang = 'de'"), I.sequences(spark, sf), mask, "de")
+    mask = full(spark, sf, materialize=True).mask
+    out = cascade.species_labels(I.raw_sites(spark, sf), I.sequences(spark, sf), mask, "lang")
     return out.select("accession", "position", "type", "stratum", "residue", "source_count", "species", "partition", "type_pooled", "crosstalk")
 
 

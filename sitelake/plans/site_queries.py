@@ -10,6 +10,7 @@ from sitelake.plans import cascade
 from sitelake.plans import inputs as I
 from sitelake.plans.oracle import define, r
 from sitelake.plans.registry import query
+from sitelake.session import cut_lineage
 
 SOURCES = {1: "s1", 2: "s2"}
 ALL_SOURCES = {1: "s1", 2: "s2", 3: "s3"}
@@ -35,10 +36,11 @@ define("o_traced", """select e.*, t.stratum as type_stratum, case when seq_lengt
 define("o_valid", "select * from o_traced where type_status = 'known' and evidence_ok and reason is null")
 define("o_cand", "select * from o_valid where source <> 's3'")
 define("o_mask", f"""select accession, position, 'O-GlcNAcylation' as type, '{dims.MASK_AMBIGUOUS}' as mask_reason from o_valid where source = 's3'
-    union all select accession, position, 'O-GlcNAcylation', '{dims.MASK_CONTAINMENT}' from o_cand c where type = 'O-glycosylation'
-    and not exists (select 1 from o_cand d where d.type = 'O-GlcNAcylation' and d.accession = c.accession and d.position = c.position)""")
-define("o_pos", """select * from o_cand c where not exists (select 1 from o_mask m where m.accession = c.accession
-    and m.position = c.position and m.type = c.type)""")
+    union all select c.accession, c.position, 'O-GlcNAcylation', '{dims.MASK_CONTAINMENT}' from o_cand c
+    left join (select distinct accession, position, true as confirmed from o_cand where type = 'O-GlcNAcylation') d on d.accession = c.accession and d.position = c.position
+    where c.type = 'O-glycosylation' and d.confirmed is null""")
+define("o_pos", """select c.* from o_cand c left join (select distinct accession, position, type, true as masked from o_mask) m
+    on m.accession = c.accession and m.position = c.position and m.type = c.type where m.masked is null""")
 define("o_dedup", """select accession, position, type, count(distinct source) as source_count, count(*) as source_row_count,
     arg_min(evidence, source_rank * 1e12 + row_no) filter (where evidence is not null) as evidence,
     arg_min(reliability, source_rank * 1e12 + row_no) filter (where reliability is not null) as reliability,
@@ -64,8 +66,8 @@ def labels(spark, sf):
 
 
 def positives(spark, sf):
-    """Row level: candidates minus the mask, as an anti join."""
-    rows = traced(spark, sf)
+    """Row level: candidates minus the mask, as an anti join. The traced rows are used four times, so they are written once."""
+    rows = cut_lineage(traced(spark, sf))
     return sites.drop_masked(cascade.valid(rows).where(~F.col("source").isin(*AMBIGUOUS)), cascade.exclusion_mask(rows, AMBIGUOUS))
 
 
@@ -203,8 +205,9 @@ def c3(spark, sf):
     return positives(spark, sf).select("source", "accession", "position", "type", "row_no")
 
 
-define("o_goldneg", """select g.accession, g.position, 'N-glycosylation' as type, 'gold' as tier, exists (select 1 from o_dedup d where d.type = 'N-glycosylation'
-    and d.accession = g.accession and d.position = g.position) as contradicted from o_gold g where contains(lower(label), 'non')""")
+define("o_goldneg", """select g.accession, g.position, 'N-glycosylation' as type, 'gold' as tier, coalesce(d.found, false) as contradicted from o_gold g
+    left join (select distinct accession, position, true as found from o_dedup where type = 'N-glycosylation') d on d.accession = g.accession and d.position = g.position
+    where contains(lower(label), 'non')""")
 
 
 @query("c4_gold_negatives", "select * from o_goldneg")

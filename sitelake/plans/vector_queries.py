@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sitelake.functions import exprs
@@ -395,6 +397,56 @@ def e10(spark, sf):
     return V.budgeted_sample(index(spark, sf), 20_000).select("partition", "shard", "id", "length")
 
 
+SHARD_TOKENS = 110
+define("o_ventries", "select case when pid % 2 = 0 then 1 else 2 end as version, case when pid % 10 < 7 then 'discovery_train' when pid % 10 = 7 then 'discovery_val' else 'held_out' end as partition, pid as id, count(*) as length from o_vec group by pid")
+define("o_vrank", "select *, row_number() over (partition by version, partition order by id) as rn from o_ventries")
+STORE = f"""with recursive w as (select version, partition, rn, id, length, 0::bigint as shard, 0::bigint as start_offset from o_vrank where rn = 1
+    union all select e.version, e.partition, e.rn, e.id, e.length, case when w.start_offset + w.length + e.length > {SHARD_TOKENS} then w.shard + 1 else w.shard end,
+      case when w.start_offset + w.length + e.length > {SHARD_TOKENS} then 0 else w.start_offset + w.length end from w join o_vrank e on e.version = w.version and e.partition = w.partition and e.rn = w.rn + 1),
+    f as (select partition, max(shard) + 1 as first from w where version = 1 group by partition),
+    p as (select w.version, w.partition, w.shard + case when w.version = 2 then coalesce(f.first, 0) else 0 end as shard, w.id, w.length, w.start_offset from w left join f using (partition))
+    select version, p.partition, shard, count(distinct id) as n_ids, count(*) as n_rows, max(start_offset + length) as end_offset, {r('avg(v.vec[1]::double)')} as mean_first
+    from p join o_vec v on v.pid = p.id group by version, p.partition, shard"""
+
+
+def store(spark, sf, odd=True):
+    """Even ids, the same once more, then all: three calls, two versions."""
+    from sitelake.operators.vector_store import VectorStore
+    from sitelake.session import ensure_checkpoint_dir
+
+    held = VectorStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/vector-store-{uuid.uuid4().hex}", SHARD_TOKENS)
+    rows = I.vectors(spark, sf)
+    entries = rows.groupBy(F.col("pid").alias("id")).agg(F.count("*").alias("length")).select(I.partition_of(F.col("id")).alias("partition"), F.col("id").alias("seq"), "id", "length")
+    even = F.col("id") % 2 == 0
+    held.commit(entries.where(even), rows)
+    held.commit(entries.where(even), rows)
+    held.commit(entries, rows)
+    return held
+
+
+@query("a17_committed_store", STORE)
+def a17_store(spark, sf):
+    held = store(spark, sf)
+    rows = held.vectors().groupBy("attempt", "partition", "shard").agg(F.count("*").alias("n_rows"), exprs.rounded(F.avg(F.col("vec")[0].cast("double"))).alias("mean_first"))
+    ids = held.index().groupBy(F.col("version").cast("bigint").alias("version"), "attempt", "partition", "shard").agg(F.count("*").alias("n_ids"), F.max("end_offset").alias("end_offset"))
+    return ids.join(rows, ["attempt", "partition", "shard"]).drop("attempt")
+
+
+@query("c11_pruned_read", f"select pid, position, {r('vec[1]::double')} as first_value from o_vec where pid % 7 = 3")
+def c11_read(spark, sf):
+    held = store(spark, sf)
+    wanted = held.index().where("id % 7 = 3").select("id")
+    return held.read(wanted).select("pid", "position", exprs.rounded(F.col("vec")[0].cast("double")).alias("first_value"))
+
+
+@query("e10_seeded_sample", """with d as (select partition, shard from (select distinct partition, shard from o_plan) order by md5('7:' || partition || ':' || shard), partition, shard limit 3),
+    r as (select p.partition, p.shard, p.id, p.length, coalesce(sum(p.length) over (partition by p.partition, p.shard order by md5('7:' || p.id), p.id rows between unbounded preceding and 1 preceding), 0)::bigint as before
+      from o_plan p join d using (partition, shard))
+    select * from r where before < 60000 // (select greatest(1, count(*)) from d)""")
+def e10_seeded(spark, sf):
+    return V.seeded_sample(index(spark, sf), tokens=60_000, shards=3, seed=7)
+
+
 @query("e7_epoch_order")
 def e7(spark, sf):
     return V.epoch_order(index(spark, sf).select("partition", "shard").distinct(), seed=7, epoch=1, workers=4)

@@ -91,3 +91,22 @@ def write_shared(spark: SparkSession, path: str, text: str) -> None:
     options[0] = rename.OVERWRITE
     files = hadoop.FileContext.getFileContext(where.getFileSystem(conf).makeQualified(where).toUri(), conf)
     files.rename(new, where, options)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder on any file system Spark can reach; none where it is absent."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Rename a finished folder to its place, which must be free: readers see all of it or nothing."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    conf = context._jsc.hadoopConfiguration()
+    old, new = hadoop.Path(staged), hadoop.Path(path)
+    fs = new.getFileSystem(conf)
+    fs.mkdirs(new.getParent())
+    options = context._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    hadoop.FileContext.getFileContext(fs.makeQualified(new).toUri(), conf).rename(old, new, options)
