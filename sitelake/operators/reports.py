@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelake.functions import dims, exprs
 from sitelake.operators.quantiles import exact_quantiles
+from sitelake.operators.sampling import bottom_k
 
 
 def suggested_strata(traced: DataFrame) -> DataFrame:
@@ -251,6 +252,20 @@ def contract_checks(corpus: DataFrame, labels: DataFrame, naive: DataFrame, mask
     return out
 
 
+def column_types(frame: DataFrame, label: str) -> DataFrame:
+    """label, column, dtype, n_rows, n_cols: one row per column; the rows are counted once."""
+    fields = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype")) for f in frame.schema.fields])
+    return frame.agg(F.count("*").alias("n_rows")).select(F.lit(label).alias("label"), F.inline(fields), "n_rows", F.lit(len(frame.columns)).cast("bigint").alias("n_cols"))
+
+
+def sample_rows(frame: DataFrame, key: list[str], k: int = 3, width: int = 60) -> DataFrame:
+    """place, row: ``k`` rows that are the same in every run, by a hash of their key, each as one text of its columns' first letters."""
+    order = F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]))
+    chosen = bottom_k(frame.withColumn("sample_order", order), [], ["sample_order", *key], k)
+    text = F.concat_ws(" | ", *[F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")), 1, width) for c in frame.columns])
+    return chosen.select(F.row_number().over(Window.orderBy("sample_order", *key)).cast("bigint").alias("place"), text.alias("row"))  # k rows
+
+
 def required_outputs(inventory: DataFrame, required: DataFrame) -> DataFrame:
     """Required names against an inventory of (name, size): present, size."""
     return required.join(inventory, "name", "left").select(

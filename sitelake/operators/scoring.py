@@ -135,8 +135,8 @@ def activation_scale(vectors: DataFrame) -> DataFrame:
 
 
 def partition_sums(frame: DataFrame, fold, size: int, columns: list[str]) -> np.ndarray:
-    """Sum ``fold(pdf) -> array(size)`` over the frame: one row per partition, summed by index on the
-    executors; only ``size`` numbers reach the driver."""
+    """Sum ``fold(pdf) -> array(size)`` over the frame. Every task adds up its rows to one array; the arrays are added on the executors in two levels,
+    about as many per task as there are tasks in the next level, and one array reaches the driver. No array is cut into rows."""
 
     def run(batches):
         total = np.zeros(size)
@@ -145,12 +145,20 @@ def partition_sums(frame: DataFrame, fold, size: int, columns: list[str]) -> np.
                 total += fold(pdf)
         yield pd.DataFrame({"v": [total]})
 
+    def add(batches):
+        total, seen = np.zeros(size), False
+        for pdf in batches:
+            for part in pdf["v"]:
+                total, seen = total + part, True
+        if seen:
+            yield pd.DataFrame({"v": [total]})
+
     parts = frame.select(*columns).mapInPandas(run, "v array<double>")
-    rows = parts.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(size)
-    for row in rows:
-        out[row["i"]] = row["x"]
-    return out
+    middle = math.isqrt(max(1, frame.rdd.getNumPartitions()))
+    if middle > 3:
+        parts = parts.repartition(middle).mapInPandas(add, "v array<double>")
+    rows = parts.repartition(1).mapInPandas(add, "v array<double>").collect()  # one row
+    return np.array(rows[0]["v"]) if rows else np.zeros(size)
 
 
 def mean_vector(vectors: DataFrame, dim: int) -> list[float]:

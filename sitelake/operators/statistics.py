@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelake.functions import dims, exprs
 from sitelake.operators.quantiles import exact_quantiles
-from sitelake.operators.scoring import ROW, partition_sums
+from sitelake.operators.scoring import ROW, mean_vector, partition_sums
 from sitelake.operators.vectors import dimension_sums
 from sitelake.session import cut_lineage
 
@@ -150,6 +152,40 @@ def sparse_oracle(vectors: DataFrame, centre: list[float], ks: list[int], group:
     return out.groupBy(*(group or []), "k").agg(r(F.sum("kept") / F.sum("total")).alias("share_kept"))
 
 
+def sparse_bases(vectors: DataFrame, dim: int, ks: list[int], label: str, class_k: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (k, pca_dense, pca_sparse, raw_sparse), the variance that k coefficients explain if they are the first principal components, the largest of
+    each row in the principal basis, or the largest of each row as it stands; and (label, explained, share_of_unexplained) per class for
+    ``class_k`` coefficients in the principal basis. The basis comes from the d x d sums; every row is turned, ranked and added up in its task."""
+    spark = vectors.sparkSession
+    cov, _ = spectrum(vectors, dim)
+    values, basis = np.linalg.eigh(cov)
+    values, basis = values[::-1], basis[:, ::-1]
+    mean = np.array(mean_vector(vectors, dim))
+    classes = [row[0] for row in vectors.select(label).distinct().sort(label).collect()]  # one per class
+    at = {c: i for i, c in enumerate(classes)}
+    n, limits = len(ks), [min(k, dim) for k in ks]
+
+    def kept(x: np.ndarray, k: int) -> np.ndarray:
+        return np.partition(x * x, dim - k, axis=1)[:, dim - k:].sum(axis=1)
+
+    def fold(pdf):
+        x = np.vstack(pdf["vec"].to_numpy()).astype("float64") - mean
+        turned, total, code = x @ basis, (x * x).sum(axis=1), pdf[label].map(at).to_numpy()
+        sums = [kept(turned, k).sum() for k in limits] + [kept(x, k).sum() for k in limits]
+        per_class = [np.bincount(code, w, len(classes)) for w in (total, kept(turned, min(class_k, dim)))]
+        return np.concatenate([sums, *per_class])
+
+    out = partition_sums(vectors, fold, 2 * n + 2 * len(classes), ["vec", label])
+    totals, held = out[2 * n: 2 * n + len(classes)], out[2 * n + len(classes):]
+    total, dense = totals.sum(), np.cumsum(values) / values.sum()
+    rounded = lambda v: round(float(v), 6)
+    by_k = [(k, rounded(dense[c - 1]), rounded(out[i] / total), rounded(out[n + i] / total)) for i, (k, c) in enumerate(zip(ks, limits))]
+    by_class = [(c, rounded(held[i] / totals[i]), rounded((totals[i] - held[i]) / (total - held.sum()))) for i, c in enumerate(classes)]
+    kind = vectors.schema[label].dataType.simpleString()
+    return (spark.createDataFrame(by_k, "k bigint, pca_dense double, pca_sparse double, raw_sparse double"),
+            spark.createDataFrame(by_class, f"{label} {kind}, explained double, share_of_unexplained double"))
+
+
 def mean_pairwise_cosine(codes_of_self: DataFrame, n: int) -> DataFrame:
     """From all scores of the unit dictionary against itself: (sum |cos| - n) / (n (n - 1))."""
     return codes_of_self.agg(r((F.sum(F.abs("value")) - n) / float(n * (n - 1))).alias("mean_abs_cosine"))
@@ -267,3 +303,17 @@ def dominance_chance(frequencies: DataFrame, k: int, threshold: float, draws: in
     coded = slots.withColumn("code", F.size(F.filter(bounds, lambda e: e <= F.col("u"))))
     top = coded.groupBy("draw", "code").agg(F.count("*").alias("n")).groupBy("draw").agg(F.max("n").alias("n"))
     return top.agg(F.avg((F.col("n") / k >= threshold - 1e-6).cast("double"))).first()[0]
+
+
+def exact_chance(frequencies: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(threshold, chance): the probability that the most common of k independent draws by class frequency takes ``threshold`` of them, exactly.
+    Draws in which every class stays below the mark are counted by a product of power series cut at the mark, one factor per class;
+    its coefficient of degree k, times k!, is their probability. ``frequencies`` has n per class, a few classes."""
+    least = max(1, math.ceil(threshold * k - 1e-6))
+    inverse = F.array(*[F.lit(1.0 / math.factorial(j)) for j in range(k + 1)])
+    total = frequencies.agg(F.sum("n")).scalar()
+    shares = frequencies.where("n > 0").select((F.col("n") / total).alias("p")).agg(F.array_sort(F.collect_list("p")).alias("p"))  # one per class
+    below = lambda poly, p: F.transform(F.sequence(F.lit(0), F.lit(k)), lambda d: F.aggregate(
+        F.sequence(F.lit(0), F.least(d, F.lit(least - 1))), F.lit(0.0), lambda s, j: s + poly[d - j] * F.pow(p, j) * inverse[j]))
+    product = F.aggregate("p", F.array(F.lit(1.0), *[F.lit(0.0)] * k), below)
+    return shares.select(F.lit(float(threshold)).alias("threshold"), r(1 - product[k] * float(math.factorial(k))).alias("chance"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sitelake.functions import dims
@@ -96,6 +96,10 @@ def run(raw: DataFrame, corpus: DataFrame, sources: dict[int, str], ambiguous_so
     table = site_types(traced, ambiguous_sources, aux)
     if materialize:
         table = cut_lineage(table)
+    return _of_sites(traced, table, sources, aux, corpus)
+
+
+def _of_sites(traced: DataFrame, table: DataFrame, sources: dict[int, str], aux: list[str], corpus: DataFrame) -> Cascade:
     kept = table.where("source_row_count > 0 and not masked")
     deduped = kept.select(*KEY, F.bit_count("reporting").cast("bigint").alias("source_count"), "source_row_count", *aux, "crosstalk")
     masks = kept.select(*KEY, "reporting")
@@ -141,6 +145,53 @@ def step_log(traced: DataFrame) -> DataFrame:
         "n_dropped", F.col("n_in") - F.col("n_out"))
 
 
+LOG = "step string, source string, counter string, n bigint"
+
+
+def logged_run(raw: DataFrame, corpus: DataFrame, sources: dict[int, str], ambiguous_sources: list[str], gold: DataFrame,
+               replication: DataFrame, lookup: DataFrame | None = None) -> tuple[Cascade, DataFrame]:
+    """The labels and the log of all twelve steps: (step, source, counter, n). Counters are observed inside the jobs that write the site
+    table, the gold negatives and the replication set, so the log costs no pass of its own. Spark adds observed counts up per task; a stage that runs again
+    after a lost executor may count its tasks again, while the tables are right in any case."""
+    rows_seen, sites_seen, gold_seen, copies_in, copies_out = (Observation(n) for n in ("rows", "sites", "gold", "replication-in", "replication-out"))
+    names = sorted({*sources.values(), *ambiguous_sources})
+    traced = trace(raw, corpus if lookup is None else lookup)
+    known = F.col("type_status") == "known"
+    stages = {"recovered": F.col("from_isoform_accession"), "all": F.lit(True), "resolved": F.col("type_status") != "unresolved", "known": known,
+              "evidence": known & F.col("evidence_ok"), "valid": known & F.col("evidence_ok") & F.col("reason").isNull()}
+    watched = traced.observe(rows_seen, *[F.count_if((F.col("source") == s) & condition).alias(f"{s}:{name}") for s in names for name, condition in stages.items()])
+    table = site_types(watched, ambiguous_sources, AUX)
+    kept = (F.col("source_row_count") > 0) & ~F.col("masked")
+    uncertain = (F.col("type") == "O-glycosylation") & ~F.col("site_confirmed")
+    types = sorted({t for t, _ in dims.type_rows()})
+    total = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("source_row_count"))), F.lit(0))
+    table = cut_lineage(table.observe(
+        sites_seen, F.count_if((F.col("type") == "O-GlcNAcylation") & (F.col("source_row_count") > 0)).alias("confirmed"), total(uncertain).alias("uncertain"),
+        total(kept).alias("dedup_in"), F.count_if(kept).alias("dedup_out"), *[F.count_if(kept & (F.col("type") == t)).alias(f"type:{t}") for t in types]))
+    cascade = _of_sites(traced, table, sources, AUX, corpus)
+    cut_lineage(agreement.gold_negatives(gold, cascade.deduped).observe(gold_seen, F.count("*").alias("n"), F.count_if("contradicted").alias("contradicted")))
+    incoming = replication.observe(copies_in, F.count("*").alias("n"))
+    cut_lineage(replication_labels(incoming, corpus, cascade.mask).observe(copies_out, F.count("*").alias("n")))
+    seen, at = rows_seen.get, sites_seen.get
+    log = []
+    for s in names:
+        n = {name: seen[f"{s}:{name}"] for name in stages}
+        if n["recovered"]:
+            log.append(("step0_isoform_recovery", s, "n_recovered", n["recovered"]))
+        for step, before, after in (("step0_canonicalize", "all", "resolved"), ("step1", "known", "evidence"), ("step2", "evidence", "valid")):
+            log += [(step, s, "n_in", n[before]), (step, s, "n_dropped", n[before] - n[after]), (step, s, "n_out", n[after])]
+    present = [n for n in (at[f"type:{t}"] for t in types) if n]
+    pooled = sum(n < dims.MIN_SITES_PER_TYPE for n in present)
+    log += [("step3c_oglcnac_containment", "", "n_confirmed_sites", at["confirmed"]), ("step3c_oglcnac_containment", "", "n_masked", at["uncertain"]),
+            ("step4", "dedup", "n_in", at["dedup_in"]), ("step4", "dedup", "n_out", at["dedup_out"]), ("step4", "site_agreement", "n_sites", at["dedup_out"])]
+    log += [("step5", kind, counter, n) for kind in ("stratified", "naive") for counter, n in (("n_types_before_pooling", len(present)), ("n_types_pooled_to_other", pooled))]
+    log += [("step6", "split_inherited", "n_rows", at["dedup_out"])]
+    log += [("gold_negatives", "contradiction_filter", c, n) for c, n in (
+        ("n_gold_before", gold_seen.get["n"]), ("n_contradicted", gold_seen.get["contradicted"]), ("n_gold_clean", gold_seen.get["n"] - gold_seen.get["contradicted"]))]
+    log += [("step_qptm", "build", "n_in", copies_in.get["n"]), ("step_qptm", "build", "n_out", copies_out.get["n"])]
+    return cascade, raw.sparkSession.createDataFrame(log, LOG)  # a few rows per step and source
+
+
 def type_survival(cascade: Cascade, ambiguous_sources: list[str]) -> DataFrame:
     """Count per type at each stage, first-to-last survival, floors and the pooled class."""
     from sitelake.functions import exprs

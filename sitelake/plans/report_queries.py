@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from sitelake.functions import dims, exprs
@@ -102,6 +104,28 @@ def d13_order(spark, sf):
 PROFILED = ["source", "type", "evidence", "reliability", "species", "position"]
 
 
+DESCRIBED = {"documents": ["doc_id"], "pages": ["page_id"], "benchmark": ["item_id"], "lineitem": ["l_orderkey", "l_linenumber"], "conversations": ["conv_id", "turn"]}
+
+
+def _described(name: str) -> str:
+    kind = "case column_type when 'BIGINT' then 'bigint' when 'VARCHAR' then 'string' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'TIMESTAMP' then 'timestamp_ntz' else lower(column_type) end"
+    return f"""select '{name}' as label, column_name as "column", {kind} as dtype, (select count(*) from {name}) as n_rows, count(*) over () as n_cols from (describe {name})"""
+
+
+@query("d14_column_types", " union all ".join(map(_described, DESCRIBED)))
+def d14_types(spark, sf):
+    return functools.reduce(lambda a, b: a.unionByName(b), [reports.column_types(I.table(spark, sf, name), name) for name in DESCRIBED])
+
+
+@query("d14_sample_rows", """select 'documents' as label, row_number() over (order by o, doc_id) as place, row from (select doc_id, md5(cast(doc_id as varchar)) as o,
+      concat_ws(' | ', substr(cast(doc_id as varchar), 1, 60), substr(text, 1, 60), coalesce(lang, ''), substr(coalesce(source, ''), 1, 60), cast(n_chars as varchar)) as row from documents order by o, doc_id limit 3)
+    union all select 'pages', row_number() over (order by o, page_id), row from (select page_id, md5(cast(page_id as varchar)) as o,
+      concat_ws(' | ', cast(page_id as varchar), substr(coalesce(url, ''), 1, 60), substr(coalesce(html, ''), 1, 60)) as row from pages order by o, page_id limit 3)""")
+def d14_samples(spark, sf):
+    rows = [reports.sample_rows(I.table(spark, sf, name), DESCRIBED[name]).select(F.lit(name).alias("label"), "place", "row") for name in ("documents", "pages")]
+    return rows[0].unionByName(rows[1])
+
+
 @query("d14_profile", " union all ".join(
     f"""select '{c}' as "column", count(*) as n_rows, count(*) filter (where "{c}" is null) as n_null,
     {r(f'100e0 * count(*) filter (where "{c}" is null) / count(*)', 2)} as pct_null, count(distinct "{c}") as n_unique,
@@ -180,6 +204,30 @@ def d20(spark, sf):
     return cascade.step_log(traced(spark, sf))
 
 
+FULL_LOG = """with k as (select source, count(*) filter (where from_isoform_accession) as rec, count(*) as a, count(*) filter (where type_status <> 'unresolved') as b, count(*) filter (where type_status = 'known') as c,
+      count(*) filter (where type_status = 'known' and evidence_ok) as d, count(*) filter (where type_status = 'known' and evidence_ok and reason is null) as e from o_traced group by source),
+    ty as (select count(*) as n from o_dedup group by type), g as (select count(*) as n, count(*) filter (where contradicted) as c from o_goldneg)
+    select 'step0_isoform_recovery' as step, source, 'n_recovered' as counter, rec as n from k where rec > 0
+    union all select 'step0_canonicalize', source, unnest(['n_in', 'n_dropped', 'n_out']), unnest([a, a - b, b]) from k
+    union all select 'step1', source, unnest(['n_in', 'n_dropped', 'n_out']), unnest([c, c - d, d]) from k
+    union all select 'step2', source, unnest(['n_in', 'n_dropped', 'n_out']), unnest([d, d - e, e]) from k
+    union all select 'step3c_oglcnac_containment', '', 'n_confirmed_sites', count(*) from (select distinct accession, position from o_cand where type = 'O-GlcNAcylation')
+    union all select 'step3c_oglcnac_containment', '', 'n_masked', count(*) from o_mask where mask_reason = '""" + dims.MASK_CONTAINMENT + """'
+    union all select 'step4', 'dedup', 'n_in', count(*) from o_pos union all select 'step4', 'dedup', 'n_out', count(*) from o_dedup
+    union all select 'step4', 'site_agreement', 'n_sites', count(*) from o_agree
+    union all select 'step5', kind, 'n_types_before_pooling', (select count(*) from ty) from (values ('stratified'), ('naive')) v(kind)
+    union all select 'step5', kind, 'n_types_pooled_to_other', (select count(*) from ty where n < 200) from (values ('stratified'), ('naive')) v(kind)
+    union all select 'step6', 'split_inherited', 'n_rows', count(*) from o_labels
+    union all select 'gold_negatives', 'contradiction_filter', unnest(['n_gold_before', 'n_contradicted', 'n_gold_clean']), unnest([n, c, n - c]) from g
+    union all select 'step_qptm', 'build', 'n_in', count(*) from o_raw union all select 'step_qptm', 'build', 'n_out', count(*) from o_repl"""
+
+
+@query("d20_full_step_log", FULL_LOG)
+def d20_full(spark, sf):
+    raw = I.raw_sites(spark, sf)
+    return cascade.logged_run(raw, I.corpus(spark, sf), SOURCES, AMBIGUOUS, I.gold_rows(spark, sf), raw, lookup=I.sequences(spark, sf))[1]
+
+
 @query("d26_waterfall", f"select source, step, n_in, n_out from ({STEP_SQL}) where step in ('step1', 'step2')")
 def d26_waterfall(spark, sf):
     return cascade.step_log(traced(spark, sf)).where("step in ('step1', 'step2')").select("source", "step", "n_in", "n_out")

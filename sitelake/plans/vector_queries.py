@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -315,6 +316,34 @@ def h24(spark, sf):
     return T.sparse_oracle(I.vectors(spark, sf), S.mean_vector(I.vectors(spark, sf), DIM), [4, 8, 16, 32], ["label"])
 
 
+@query("h24_sparse_bases")
+def h24_bases(spark, sf):
+    return T.sparse_bases(I.vectors(spark, sf), DIM, [4, 8, 16, 32, 64], "label")[0]
+
+
+@query("h24_sparse_bases_raw", f"""with x as (select vec_id, x - avg(x) over (partition by d) as e from o_xlong), q as (select vec_id, e * e as e, row_number() over (partition by vec_id order by e * e desc) as rn from x)
+    select k, {r('sum(e) filter (where rn <= k) / sum(e)')} as raw_sparse, k = 64 as whole from q cross join (select unnest([4, 8, 16, 32, 64])::bigint as k) group by k""")
+def h24_raw(spark, sf):
+    """What SQL can say of the bases: the raw shares, and that all coefficients of any basis explain everything."""
+    rows = h24_bases(spark, sf)
+    whole = (F.col("pca_dense") > 0.999999) & (F.col("pca_sparse") > 0.999999) & (F.col("raw_sparse") > 0.999999)
+    return rows.select("k", exprs.rounded("raw_sparse").alias("raw_sparse"), whole.alias("whole"))
+
+
+@query("h24_classes")
+def h24_classes(spark, sf):
+    return T.sparse_bases(I.vectors(spark, sf), DIM, [32], "label")[1]
+
+
+@query("h20_chance_rate", " union all ".join(f"""select {t}e0 as threshold, {r(f"1 - p[11] * {math.factorial(10)}e0")} as chance from (select list_reduce(list_prepend([1e0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0], list([n / total] order by n)),
+      lambda a, q: list_transform(range(0, 11), lambda d: list_sum(list_transform(range(0, least(d, {math.ceil(t * 10 - 1e-6) - 1}) + 1), lambda j: a[d - j + 1] * pow(q[1], j) / factorial(j::int)::double)))) as p
+      from (select count(*)::double as n, sum(count(*)) over ()::double as total from o_vec group by label))""" for t in (0.5, 0.75, 0.9)))
+def h20(spark, sf):
+    counts = I.vectors(spark, sf).groupBy("label").agg(F.count("*").alias("n"))
+    rows = [T.exact_chance(counts, 10, t) for t in (0.5, 0.75, 0.9)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("h26_architecture_metrics", f"""with p as (select latent, sqrt(list_inner_product(w, w)) as norm, exp({LOG_THRESHOLD}) as t from o_dict),
     h as (select sum((exp(2 * 4 * abs(value) * norm) - 1) / (exp(2 * 4 * abs(value) * norm) + 1)) as th, sum((greatest(0, t - value) - greatest(0, t)) * norm) as pa from o_top c join p on c.latent = p.latent)
     select {r('avg(norm)')} as norm_mean, {r('stddev_samp(norm)')} as norm_std, {r('avg(t)')} as threshold_mean, {r('stddev_samp(t)')} as threshold_std,

@@ -157,3 +157,40 @@ def test_seeded_sample(spark):
         assert own[0][0] == 0 and all(b == a + n for (a, n), (b, _) in zip(own, own[1:]))
         assert own[-1][0] < 100 <= own[-1][0] + own[-1][1]  # within one id of the share
     assert len(vectors.seeded_sample(index.where("shard < 2"), 300, 3, 1).select("shard").distinct().collect()) == 2
+
+
+def test_sparse_bases_equal_numpy(spark):
+    from sitelake.operators import statistics
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 12)) @ rng.normal(size=(12, 12)) + 5
+    label = rng.integers(0, 3, 400)
+    frame = spark.createDataFrame([(i, 1, [float(v) for v in row], int(c)) for i, (row, c) in enumerate(zip(x, label))], "pid long, position long, vec array<double>, label long").repartition(20)
+    by_k, by_class = statistics.sparse_bases(frame, 12, [1, 4, 12], "label", class_k=4)
+    e = x - x.mean(axis=0)
+    values, basis = np.linalg.eigh(np.cov(x.T, bias=True))
+    turned, total = e @ basis, (e**2).sum()
+    top = lambda m, k: np.sort(m**2, axis=1)[:, ::-1][:, :k].sum(axis=1)
+    for row in by_k.collect():
+        k = row["k"]
+        assert np.allclose([row["pca_dense"], row["pca_sparse"], row["raw_sparse"]], [values[::-1][:k].sum() / values.sum(), top(turned, k).sum() / total, top(e, k).sum() / total], atol=2e-6)
+    for row in by_class.collect():
+        own = label == row["label"]
+        kept, whole = top(turned, 4), (e**2).sum(axis=1)
+        assert np.allclose([row["explained"], row["share_of_unexplained"]], [kept[own].sum() / whole[own].sum(), (whole - kept)[own].sum() / (whole - kept).sum()], atol=2e-6)
+
+
+@pytest.mark.parametrize("k,threshold", [(10, 0.75), (5, 0.5), (3, 1.0)])
+def test_exact_chance(spark, k, threshold):
+    """Against counting every sequence of draws on a small case, and against random draws."""
+    import itertools
+
+    from sitelake.operators import statistics
+
+    n = [3, 1, 6]
+    counts = spark.createDataFrame([(i, v) for i, v in enumerate([*n, 0])], "code int, n long")
+    got = statistics.exact_chance(counts, k, threshold).first()["chance"]
+    if k <= 5:
+        want = sum(np.prod([n[c] / 10 for c in draw]) for draw in itertools.product(range(3), repeat=k) if max(draw.count(c) for c in range(3)) / k >= threshold - 1e-6)
+        assert np.isclose(got, want, atol=2e-6)
+    assert abs(got - statistics.dominance_chance(counts, k, threshold)) < 0.02
