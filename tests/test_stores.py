@@ -194,3 +194,18 @@ def test_exact_chance(spark, k, threshold):
         want = sum(np.prod([n[c] / 10 for c in draw]) for draw in itertools.product(range(3), repeat=k) if max(draw.count(c) for c in range(3)) / k >= threshold - 1e-6)
         assert np.isclose(got, want, atol=2e-6)
     assert abs(got - statistics.dominance_chance(counts, k, threshold)) < 0.02
+
+
+@pytest.mark.parametrize("pool", [1, 2, 256])
+def test_a_split_that_needs_one_pair_is_found(spark, pool):
+    """Only exchanging 7 and 5 meets the window, and no single move gains; the pool is too small to hold the pair."""
+    from sitelake.operators import balance
+
+    tokens = {1: (0, 100.0), 2: (0, 7.0), 3: (1, 98.0), 4: (1, 5.0), 5: (0, 1000.0), 6: (1, 1000.0)}
+    features = spark.createDataFrame([(c, "tokens", t) for c, (_, t) in tokens.items()], "cluster_id long, feature string, value double")
+    start = spark.createDataFrame([(c, k) for c, (k, _) in tokens.items()], "cluster_id long, code int")
+    plan = balance.SplitPlan(names=("a", "b"), fractions=(0.5, 0.5), min_sites=(0, 0), token_tolerance=1e-4, swap_pool=pool)
+    got = {r["cluster_id"]: r["code"] for r in balance.polish(features, start, plan).collect()}
+    assert abs(sum(t for c, (_, t) in tokens.items() if got[c]) - 1105) < 0.2
+    with pytest.raises(ValueError, match="no feasible split"):
+        balance.polish(features.where("cluster_id <> 4"), start.where("cluster_id <> 4"), plan)
