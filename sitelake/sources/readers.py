@@ -34,9 +34,12 @@ def quoted(name: str):
 def read_fasta(spark: SparkSession, path: str, max_length: int = dims.MAX_SEQUENCE_LENGTH) -> tuple[DataFrame, DataFrame]:
     """(valid, skipped): records split by the reader itself. Text before the first header is dropped, stop marks
     '*' are removed, records without a sequence appear in neither."""
-    records = spark.read.option("lineSep", "\n>").text(path)
+    records = spark.read.option("lineSep", "\n>").text(path).select(
+        "value", F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("block"), F.monotonically_increasing_id().alias("place"))
+    # The first record of a file keeps its '>': if it has none, all of it lies before the first header.
+    firsts = records.where("block = 0").groupBy("file").agg(F.min(F.struct("place", F.col("value").rlike("^\ufeff?>").alias("headed"))).alias("first"))
+    records = records.join(firsts.where("not first.headed").select("file", "first.place"), ["file", "place"], "left_anti")
     body = F.regexp_replace(F.replace("value", F.lit("\r"), F.lit("")), "^﻿?>", "")
-    # the first record of a file keeps its '>'; anything else without one was already cut at a header
     lines = records.select(F.split(body, "\n").alias("lines"), F.col("value"))
     header = F.get("lines", F.lit(0))
     piped = F.regexp_extract(header, r"^[\w-]+\|([\w-]+)\|", 1)

@@ -132,3 +132,18 @@ def test_split_manifest_keeps_other_keys(spark, tmp_path):
     manifest = json.loads((tmp_path / "split_manifest.json").read_text())
     assert manifest["kept"] == 1 and manifest["homology_audit"] == [{"pass": 0}] and "tokens" in manifest["balance"]
     assert spark.read.parquet(str(tmp_path / "corpus")).where("partition = 'held_out'").count() == 1
+
+
+def test_text_before_the_first_header_is_dropped(spark, tmp_path):
+    """Several lines before a header, in files of several splits; other files stay as they are."""
+    (tmp_path / "a.fasta").write_text("; a comment\nand a second line\nACDEF\n>sp|P1|X one\nAC\nDE\n" + "".join(f">q{i}\nACDEFGHIKL\n" for i in range(400)))
+    (tmp_path / "b.fasta").write_text("\n\n>sp|P2|Y two\r\nMK\r\n")
+    (tmp_path / "c.fasta").write_text(">sp|P3|Z\nGG\n")
+    (tmp_path / "d.fasta").write_text("no header at all\nACD\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = {r["uniprot_id"]: r["sequence"] for r in readers.read_fasta(spark, str(tmp_path))[0].collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == {"P1": "ACDE", "P2": "MK", "P3": "GG"} | {f"q{i}": "ACDEFGHIKL" for i in range(400)}
