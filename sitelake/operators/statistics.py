@@ -238,13 +238,16 @@ def concentration_by_stratum(codes: DataFrame, tiers: DataFrame, min_active: int
         r(F.coalesce(F.avg(F.when(F.col("ok"), over.cast("double"))), zero)).alias("supported_share_over_2x"))
 
 
-def concentration_by_type(codes: DataFrame, tiers: DataFrame, min_active: int = 20, min_hits: int = 3) -> DataFrame:
+def concentration_by_type(codes: DataFrame, tiers: DataFrame, min_active: int = 20, min_hits: int = 3, known: DataFrame | None = None) -> DataFrame:
     """Per (stratum, type): mean ratio over the latents active in the stratum, latents over 2x, the best ratio, how many
     come near it, and latents with enough active residues and hits (``min_hits`` is 1 at least). A residue with several
-    types counts once for each; a pair that no latent meets has zeros."""
+    types counts once for each; a pair that no latent meets has zeros, and so has every pair of ``known`` (stratum, type) without a positive."""
     typed = tiers.select(*ROW, "stratum", F.explode("types").alias("type"))
     strata = tiers.groupBy("stratum").agg(F.count("*").alias("total"))
-    pairs = typed.groupBy("stratum", "type").agg(F.count("*").alias("positives")).join(strata, "stratum")
+    pairs = typed.groupBy("stratum", "type").agg(F.count("*").alias("positives"))
+    if known is not None:
+        pairs = known.select("stratum", "type").join(pairs, ["stratum", "type"], "full")
+    pairs = pairs.join(strata, "stratum", "left")
     active = codes.join(tiers.select(*ROW, "stratum"), ROW).groupBy("stratum", "latent").agg(F.count("*").alias("active"))
     n_active = active.groupBy("stratum").agg(F.count("*").alias("n_active"))
     hits = codes.join(typed, ROW).groupBy("stratum", "type", "latent").agg(F.count("*").alias("hit")).join(active, ["stratum", "latent"])

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sitelake.functions import exprs
+from sitelake.functions import dims, exprs
 from sitelake.operators import scoring as S
 from sitelake.operators import statistics as T
 from sitelake.operators import vectors as V
@@ -236,16 +236,16 @@ def h16(spark, sf):
 
 
 @query("h17_concentration_by_type", f"""with ty as (select *, unnest(types) as type from o_ta), tc as (select *, unnest(types) as type from o_tc),
-    s as (select stratum, count(*) as total from o_ta group by stratum), p as (select stratum, type, count(*) as positives from ty group by all),
+    s as (select stratum, count(*) as total from o_ta group by stratum), p as (select t.stratum, t.type, c.n as positives from o_types t left join (select stratum, type, count(*) as n from ty group by all) c on c.stratum = t.stratum and c.type = t.type),
     a as (select stratum, latent, count(*) as active from o_tc group by all), h as (select stratum, type, latent, count(*) as hit from tc group by all),
     x as (select p.stratum, p.type, a.latent, a.active, coalesce(h.hit, 0) as hit, coalesce(h.hit, 0) / a.active::double / (positives / total::double) as ratio
-      from p join s on s.stratum = p.stratum left join a on a.stratum = p.stratum left join h on h.stratum = p.stratum and h.type = p.type and h.latent = a.latent),
+      from p left join s on s.stratum = p.stratum left join a on a.stratum = p.stratum left join h on h.stratum = p.stratum and h.type = p.type and h.latent = a.latent),
     y as (select *, max(ratio) over (partition by stratum, type) as best from x)
     select stratum, type, {r('coalesce(avg(ratio), 0)')} as mean_ratio, count(*) filter (where ratio > 2) as over_2x, {r('coalesce(max(ratio), 0)')} as best_ratio,
       count(*) filter (where best > 0 and ratio > 0.8e0 * best) as near_best, count(*) filter (where active >= 5 and hit >= 2) as supported,
       {r('coalesce(max(ratio) filter (where active >= 5 and hit >= 2), 0)')} as supported_best_ratio from y group by stratum, type""")
 def h17(spark, sf):
-    return T.concentration_by_type(*tiers_with_codes(spark, sf), min_active=5, min_hits=2)
+    return T.concentration_by_type(*tiers_with_codes(spark, sf), min_active=5, min_hits=2, known=dims.types(spark))
 
 
 @query("h18_shortcut_suspects", """with b as (select stratum, count(*) as total, count(types) as n_mod, count(*) filter (where tier = 'hard') as n_hard from o_ta group by stratum),
