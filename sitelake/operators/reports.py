@@ -310,11 +310,11 @@ def table_fingerprint(frame: DataFrame) -> DataFrame:
                      F.coalesce(F.sum(F.shiftright(row, 16)), F.lit(0).cast("bigint")).alias("sum_hash"))
 
 
-def sequence_fingerprint(corpus: DataFrame, levels: int = 4096) -> DataFrame:
+def sequence_fingerprint(corpus: DataFrame, digits: int = 3) -> DataFrame:
     """Digest of (id, sequence) over the discovery partitions, independent of row order. Row digests are
-    folded per hash slot first, so no task holds the digests of the whole corpus."""
+    folded per hash slot first, the slot being their first ``digits`` hexadecimal digits, so no task holds the digests of the whole corpus."""
     rows = corpus.where(F.col("partition").isin("discovery_train", "discovery_val")).select(
         F.sha2(F.concat_ws("\t", "accession", "sequence"), 256).alias("digest"))
-    slots = rows.groupBy(F.substring("digest", 1, 3).alias("slot")).agg(
+    slots = rows.groupBy(F.substring("digest", 1, digits).alias("slot")).agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("digest"))
     return slots.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "digest"))), lambda e: e["digest"]), ""), 256).alias("fingerprint"))

@@ -25,9 +25,10 @@ CHECK_COLUMNS = ["metric", "label", "low", "high", "only_for", "not_for"]
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, metric, value) from JSON lines; malformed lines and non-numeric values are skipped."""
+    """(file, line_no, metric, value) from JSON lines; malformed lines and non-numeric values are skipped. ``line_no`` orders the lines of a file: by
+    the start of their block, then by their place in the task that read it, since tasks take blocks in any order."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    numbered = lines.withColumn("line_no", F.monotonically_increasing_id())
+    numbered = lines.withColumn("line_no", F.struct("block", F.monotonically_increasing_id().alias("place")))
     return metric_rows(numbered)
 
 
