@@ -269,3 +269,32 @@ def test_nearest_finds_only_what_the_lists_hold(spark, monkeypatch):
     monkeypatch.setattr(ann, "_probe", lambda spark, *_: spark.createDataFrame([], "query bigint, found bigint"))
     assert ann.nearest(table(spark, "/root/testdata/sf0.01", "embeddings"), "vec_id % 50 = 0").count() == 0
     assert len(fitted) == 1 and fitted[0][0] <= 500 / 8 and fitted[0][1] > 1
+
+
+def test_margins_solve_the_ridge_system(spark):
+    """With every row a landmark, Nyström is kernel ridge regression itself: margins equal K (W K + ridge I)^-1 W y, solved directly."""
+    rng = random.Random(11)
+    syllables = {"a": "ka ro mi tu ne".split(), "b": "scho ent ung ber sie".split(), "c": "eau oi que les ment".split()}
+    rows = [(i, " ".join("".join(rng.choices(syllables[k], k=2)) for _ in range(rng.randrange(4, 12))), k) for i, k in enumerate("aabbbcccc" * 3)]
+    sampling = language_id.Sampling(ridge=0.05)
+    model = language_id.train(spark.createDataFrame(rows, "id long, text string, label string").repartition(5), sampling)
+    found = [set(f.tolist()) for f in language_id.presence([t for _, t, _ in rows])]
+    kernel = np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in found] for x in found])
+    labels = np.array([k for *_, k in rows])
+    weigh = np.array([1 / (labels == k).sum() for k in labels])
+    assert model.languages == ("a", "b", "c")
+    for c, name in enumerate(model.languages):
+        y = np.where(labels == name, 1.0, -1.0)
+        want = kernel @ np.linalg.solve(weigh[:, None] * kernel + sampling.ridge * np.eye(len(y)), weigh * y)
+        got = [model.weights[sorted(f), c].sum() / np.sqrt(len(f)) for f in found]
+        assert np.allclose(got, want, atol=2e-3)
+
+
+def test_sample_bounds_rows_not_ids(spark):
+    """One id on many rows, and a row on many partitions, fill no more than the bound; the choice doesn't depend on the splits."""
+    rows = [(1, f"text {i}", "a") for i in range(3000)] + [(i, "one and the same", "b") for i in range(900)] + [(i, f"few {i}", "c") for i in range(7)] + [(None, "x", "a"), (5, None, "a"), (6, "y", None)]
+    labelled = spark.createDataFrame(rows, "id long, text string, label string")
+    sampling = language_id.Sampling(rows_per_language=50)
+    draws = [sorted(map(tuple, language_id.sample_rows(labelled.repartition(n), sampling).collect())) for n in (3, 17)]
+    assert draws[0] == draws[1]
+    assert {k: sum(label == k for label, _ in draws[0]) for k in "abc"} == {"a": 50, "b": 50, "c": 7}
