@@ -29,6 +29,7 @@ class Similarity:
     cells: int = 1 << 21  # of each of the two rows of the sketch of document frequencies
     blocks: int = 64  # the sketch is summed in so many pieces
     pairs_per_task: int = 256  # members verified at once against one leader
+    shingles_per_task: int = 1 << 22  # about as many are held at once for them, so long texts come in smaller blocks
 
 
 STEPS = 16  # inverse document frequency runs from 1 to 2 in so many steps
@@ -197,8 +198,8 @@ def _vectors(s: Similarity, levels):
                 keys = keys.view(np.int64)
                 good = [i for i in range(len(some)) if keys[0, i] == h1[first + i] and keys[1, i] == h2[first + i]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(nodes[first + i]) for i in good], pa.int64()), pa.array([h[at[i] : at[i + 1]].tobytes() for i in good], pa.binary()),
-                     pa.array([weight[at[i] : at[i + 1]].tobytes() for i in good], pa.binary())], names=["node", "shingles", "weights"])
+                    [pa.array([int(nodes[first + i]) for i in good], pa.int64()), pa.array([int(at[i + 1] - at[i]) for i in good], pa.int32()), pa.array([h[at[i] : at[i + 1]].tobytes() for i in good], pa.binary()),
+                     pa.array([weight[at[i] : at[i + 1]].tobytes() for i in good], pa.binary())], names=["node", "held", "shingles", "weights"])
 
     return run
 
@@ -225,21 +226,23 @@ def _verify(s: Similarity):
     return run
 
 
+def _blocks(texts, held, most: int, shingles: int):
+    return F.greatest(F.ceil(texts / most), F.ceil(held / shingles)).cast("int")
+
+
 def verified(pairs: DataFrame, vectors: DataFrame, s: Similarity) -> DataFrame:
-    """The pairs (leader, member) that are similar. A leader's members come in pieces of about ``pairs_per_task``, each with one copy of the leader's shingles."""
-    pieces = pairs.groupBy("leader").agg(F.ceil(F.count("*") / s.pairs_per_task).cast("int").alias("pieces"))
-    dealt = pairs.join(pieces, "leader").withColumn("piece", F.expr("cast(pmod(xxhash64(member), pieces) as int)"))
+    """The pairs (leader, member) that are similar. A leader's members come in pieces of about ``pairs_per_task`` texts or ``shingles_per_task``, each with one copy of the leader's shingles."""
+    sized = pairs.join(vectors.select(F.col("node").alias("member"), "held"), "member")
+    pieces = sized.groupBy("leader").agg(_blocks(F.count("*"), F.sum("held"), s.pairs_per_task, s.shingles_per_task).alias("pieces"))
+    dealt = sized.drop("held").join(pieces, "leader").withColumn("piece", F.expr("cast(pmod(xxhash64(member), pieces) as int)"))
     members = dealt.select("leader", "piece", "member").join(_shingles(vectors, "member"), "member")
     leaders = pieces.select(F.col("leader").alias("of"), F.explode(F.expr("sequence(0, pieces - 1)")).alias("part")).join(_shingles(vectors, "of"), "of")
     return members.groupBy("leader", "piece").cogroup(leaders.groupBy("of", "part")).applyInArrow(_verify(s), "a bigint, b bigint")
 
 
-def _features(owner: np.ndarray, h: np.ndarray, w: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(matrix, sums) with which the sum of smaller weights of two rows is the product of their matrix rows: a shingle has a column for
-    each of its different weights, worth the square root of the step from the weight below, and a row has all columns up to its own weight."""
-    order = np.lexsort((w, h))
-    owner, h, w = owner[order], h[order], w[order].astype(np.float64)
-    new_shingle = np.concatenate([[True], h[1:] != h[:-1]])
+def _features(owner: np.ndarray, w: np.ndarray, new_shingle: np.ndarray, rows: int) -> np.ndarray:
+    """The matrix of which the sum of smaller weights of two rows is the product of their rows: a shingle has a column for each of its different
+    weights, worth the square root of the step from the weight below, and a row has all columns up to its own weight. Entries are sorted by shingle and weight."""
     new = new_shingle | np.concatenate([[True], w[1:] != w[:-1]])
     first = np.flatnonzero(new)
     column, worth = np.cumsum(new) - 1, w[first].copy()
@@ -249,14 +252,31 @@ def _features(owner: np.ndarray, h: np.ndarray, w: np.ndarray, rows: int) -> tup
     out[owner, column] = 1
     for c in later[::-1]:  # a weight includes the weights below it
         out[:, c - 1] = np.maximum(out[:, c - 1], out[:, c])
-    return out * np.sqrt(worth), np.bincount(owner, weights=w, minlength=rows)
+    return out * np.sqrt(worth)
 
 
-def similar(texts: list[tuple[np.ndarray, np.ndarray]], rows: int, least: float) -> np.ndarray:
-    """Whether each of the first ``rows`` (hashes, weights) is similar to each of the others, as a table of booleans."""
+def similar(texts: list[tuple[np.ndarray, np.ndarray]], rows: int, least: float, cells: int = 1 << 22) -> np.ndarray:
+    """Whether each of the first ``rows`` (hashes, weights) is similar to each of the others, as a table of booleans.
+
+    Products are added up over slices of whole shingles, each a matrix of about ``cells`` numbers, so memory follows the shingles held and not
+    texts times different shingles. A shingle of one text alone adds to its sum of weights only."""
     owner = np.repeat(np.arange(len(texts)), [len(h) for h, _ in texts])
-    table, sums = _features(owner, np.concatenate([h for h, _ in texts]), np.concatenate([w for _, w in texts]), len(texts))
-    both = table[:rows] @ table[rows:].T
+    h, w = np.concatenate([h for h, _ in texts]), np.concatenate([w for _, w in texts]).astype(np.float64)
+    sums = np.bincount(owner, weights=w, minlength=len(texts))
+    order = np.lexsort((w, h))
+    owner, h, w = owner[order], h[order], w[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    shared = ~new
+    shared[:-1] |= ~new[1:]
+    owner, w, new = owner[shared], w[shared], new[shared]
+    both = np.zeros((rows, len(texts) - rows))
+    column = np.cumsum(new | np.concatenate([[True], w[1:] != w[:-1]])[: len(w)])
+    starts = np.flatnonzero(new)
+    cuts = starts[np.flatnonzero(np.diff(column[starts] // max(cells // len(texts), 1), prepend=-1))]
+    for begin, end in zip(cuts, [*cuts[1:], len(w)]):
+        table = _features(owner[begin:end], w[begin:end], new[begin:end], len(texts))
+        both += table[:rows] @ table[rows:].T
     return both >= least * (sums[:rows, None] + sums[None, rows:] - both) - 1e-9
 
 
@@ -307,7 +327,7 @@ def linked(buckets: DataFrame, vectors: DataFrame, s: Similarity) -> DataFrame |
 
     First each bucket is a star: its smallest node is verified against the others, one pair a text, and components are taken. That closes nearly
     all buckets, among them those of near copies, however large. Where a bucket still holds several components, all texts outside its largest one are verified against all
-    texts of other components, in blocks of ``pairs_per_task`` by 2,048 texts; blocks emit the links that join components, not all. So every pair
+    texts of other components, in blocks of ``pairs_per_task`` by 2,048 texts, fewer if they are long; blocks emit the links that join components, not all. So every pair
     of a bucket is verified or connected, and nothing is skipped.
     """
     rooted = lambda roots: buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part"))
@@ -316,13 +336,15 @@ def linked(buckets: DataFrame, vectors: DataFrame, s: Similarity) -> DataFrame |
     stars = stored(verified(pairs, vectors, s), "near-stars")
     roots = stored(components(stars), "near-roots") if not stars.isEmpty() else None
     placed = rooted(roots) if roots is not None else buckets.withColumn("part", F.col("node"))
-    rest = placed.join(low.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
-    sizes = rest.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    shape = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    shape = stored(shape.selectExpr("bucket", "main.part as main", f"cast(ceil((size - main.n) / {s.pairs_per_task}) as int) as slices", "cast(ceil(size / 2048) as int) as tiles"), "near-open")
+    rest = placed.join(low.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti").join(vectors.select("node", "held"), "node")
+    sizes = rest.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum("held").alias("held"))
+    shape = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part", "held")).alias("main"), F.sum("n").alias("size"), F.sum("held").alias("held"), F.count("*").alias("parts")).where("parts > 1")
+    shape = stored(shape.select(
+        "bucket", F.col("main.part").alias("main"), _blocks(F.col("size") - F.col("main.n"), F.col("held") - F.col("main.held"), s.pairs_per_task, s.shingles_per_task).alias("slices"),
+        _blocks(F.col("size"), F.col("held"), 2048, s.shingles_per_task).alias("tiles")), "near-open")
     if shape.isEmpty():
         return roots
-    open_ = stored(rest.join(shape, "bucket"), "near-rest")
+    open_ = stored(rest.drop("held").join(shape, "bucket"), "near-rest")
     shingles = _shingles(vectors, "node")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -355,7 +377,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = stored(banded.join(shared, "bucket").select("bucket", "node"), "near-buckets")
     asked = buckets.select("node").distinct().join(texts.drop("bands"), "node").select("node", "h1", "h2", F.col("doc_id").alias("of"))
     wanted = source.hint("merge").join(asked, F.expr("doc_id <=> of")).select("node", "h1", "h2", "text")
-    vectors = _by_node(wanted.mapInArrow(_vectors(s, levels), "node bigint, shingles binary, weights binary").dropDuplicates(["node"]))
+    vectors = _by_node(wanted.mapInArrow(_vectors(s, levels), "node bigint, held int, shingles binary, weights binary").dropDuplicates(["node"]))
     roots = linked(buckets, vectors, s)
     nodes = texts.select("h1", "h2", "node")
     if roots is not None:

@@ -176,3 +176,36 @@ def test_blocks_equal_pairs():
     table = near_dedup.similar(texts, 12, 0.25)
     want = [[near_dedup.weighted_jaccard(*a, *b) >= 0.25 for b in texts[12:]] for a in texts[:12]]
     assert table.tolist() == want and 0 < table.sum() < table.size
+    for cells in (1, 100, 1000):  # slices of one shingle and of several
+        assert near_dedup.similar(texts, 12, 0.25, cells).tolist() == want
+    alone = [(np.array([i], dtype=np.uint64), np.ones(1, dtype=np.float32)) for i in range(3)]
+    assert not near_dedup.similar(alone, 1, 0.25).any()
+
+
+def test_blocks_of_long_texts_hold_slices(spark):
+    """320 texts of 20,000 to 27,000 shingles, most of the different ones in one text alone, take memory by shingles held and not texts times different shingles."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    shared = np.arange(18_000, dtype=np.uint64)
+    texts = []
+    for i in range(320):
+        own = np.arange(2_000 if i % 2 else 9_000, dtype=np.uint64) + np.uint64(10**6 * (i + 1))
+        h = np.concatenate([shared, own])
+        texts.append((h, np.ones(len(h), dtype=np.float32)))
+    tracemalloc.start()
+    table = near_dedup.similar(texts, 64, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    odd = np.arange(320) % 2 == 1
+    assert (table == (odd[:64, None] & odd[None, 64:])).all() and peak < 1.5e9  # a matrix of all columns has 4.5 GB
+
+
+@pytest.mark.parametrize("held", [1, 40])
+def test_blocks_by_shingles_give_the_same_classes(spark, held):
+    rows = [(i, " ".join(f"w{(i // 6) * 50 + j}" for j in range(40)) + f" x{i} y{i % 3}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = lambda s: sorted((r["doc_id"], r["class_id"]) for r in near_dedup.near_classes(docs, similarity=s).collect())
+    assert classes(near_dedup.Similarity(bands=40, rows=1, shingles_per_task=held)) == classes(near_dedup.Similarity(bands=40, rows=1))
