@@ -7,6 +7,10 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sitelake.operators.vector_store import VectorStore
+from sitelake.session import cut_lineage
 
 Model = Callable[[list[str]], list[np.ndarray]]
 
@@ -27,6 +31,17 @@ def hashed_kmers(k: int = 3, dim: int = 16, seed: int = 0) -> Model:
     return run
 
 
+def neighbour_codes(sequences: list[str]) -> list[np.ndarray]:
+    """A stand-in model of whole numbers: the places in the alphabet of a letter and its two neighbours (0 beyond the ends) and a number mixed from them."""
+    out = []
+    for sequence in sequences:
+        codes = np.pad(np.frombuffer(sequence.encode("ascii"), dtype="uint8").astype("int64") - 64, 1)
+        codes[[0, -1]] = 0
+        left, own, right = codes[:-2], codes[1:-1], codes[2:]
+        out.append(np.stack([own, left, right, (31 * left + 7 * own + right) % 101], axis=1).astype("float32"))
+    return out
+
+
 def extract(proteins: DataFrame, model: Model, committed: DataFrame | None = None, rows_per_batch: int = 50_000) -> DataFrame:
     """(pid, position, vec) for ``proteins`` (pid, sequence) that are not committed yet. A batch that runs out
     of memory is repeated one sequence at a time; output leaves in bounded pieces."""
@@ -48,3 +63,12 @@ def extract(proteins: DataFrame, model: Model, committed: DataFrame | None = Non
                     yield pd.DataFrame({"pid": pid, "position": np.arange(start + 1, start + len(part) + 1), "vec": list(part)})
 
     return todo.mapInPandas(run, "pid bigint, position bigint, vec array<float>")
+
+
+def extract_into(store: VectorStore, proteins: DataFrame, model: Model, rows_per_batch: int = 50_000) -> int | None:
+    """Commit the vectors and mean vectors of the ``proteins`` (pid, sequence, length, partition) that ``store`` does not hold. Returns the version,
+    or None if it holds them all. The model runs once per new id: its rows are written before they are laid out in shards and
+    averaged. A run that fails before the commit leaves the store as it was."""
+    held = store.index().select(F.col("id").alias("pid"))
+    rows = cut_lineage(extract(proteins, model, held, rows_per_batch))
+    return store.commit(proteins.select("partition", F.col("pid").alias("seq"), F.col("pid").alias("id"), "length"), rows)

@@ -134,3 +134,21 @@ def scalar_history(rows: DataFrame, metrics: list[str]) -> DataFrame:
 def histogram_edges(low, size, count) -> Column:
     """Edges of a packed histogram: low + size * i for i = 0..count."""
     return F.transform(F.sequence(F.lit(0), F.col(count).cast("int")), lambda i: F.col(low) + F.col(size) * i)
+
+
+def last_histogram(rows: DataFrame) -> DataFrame:
+    """(run, counts, edges) of the last histogram of each run. ``rows``: run, step, counts, and either explicit ``bins`` or the packed form
+    (bins NULL) low, size, count. One row per run reaches the shuffle from each task."""
+    packed = ("counts", "bins", "low", "size", "count")
+    last = rows.groupBy("run").agg(F.max_by(F.struct(*packed), "step").alias("last")).select("run", "last.*")
+    return last.select("run", "counts", F.coalesce("bins", histogram_edges("low", "size", "count")).alias("edges"))
+
+
+def artifact_table(artifacts: DataFrame, tables: DataFrame, prefix: str, key: str) -> DataFrame:
+    """The rows of the table ``key`` in the first artifact of each run whose name starts with ``prefix``. ``artifacts``: run, artifact, logged (place in
+    the run's order); ``tables``: run, artifact, table_key and the table's own columns. A run without such an artifact fails the job."""
+    named = F.when(F.col("artifact").startswith(prefix), F.struct("logged", "artifact"))
+    first = artifacts.groupBy("run").agg(F.min(named)["artifact"].alias("artifact"))
+    missing = F.raise_error(F.concat(F.lit(f"no artifact named '{prefix}...' in run "), F.col("run").cast("string")))
+    chosen = first.withColumn("artifact", F.coalesce("artifact", missing))
+    return tables.where(F.col("table_key") == key).join(chosen, ["run", "artifact"]).drop("table_key")

@@ -212,6 +212,33 @@ def a19_edges(spark, sf):
     return out.select("run", F.col("edge").cast("bigint").alias("edge"), exprs.rounded("value").alias("value"))
 
 
+LAST_BLOCK = "select *, event_id // 1000 as block, max(event_id // 1000) over (partition by user_id % 8) as newest from events"
+
+
+@query("a19_last_histogram", f"""with e as ({LAST_BLOCK}), h as (select user_id % 8 as run, least(floor(value / 20), 4)::bigint as bin, count(*) as n from e where block = newest group by all)
+    select run, bin, n, case when run % 2 = 0 then 20e0 * bin else bin * bin * 1e0 end as low_edge, case when run % 2 = 0 then 20e0 * (bin + 1) else (bin + 1) * (bin + 1) * 1e0 end as high_edge from h""")
+def a19_histogram(spark, sf):
+    """A histogram per run and thousand steps: packed bins for even runs, explicit ones for odd runs."""
+    binned = I.run_log(spark, sf).select("run", F.expr("step div 1000").alias("step"), F.least(F.floor(F.col("value") / 20), F.lit(4)).cast("int").alias("bin"))
+    counts = binned.groupBy("run", "step").agg(*[F.count_if(F.col("bin") == b).alias(f"n{b}") for b in range(5)])
+    even, packed = F.col("run") % 2 == 0, lambda v: F.when(F.col("run") % 2 == 0, F.lit(v))
+    rows = counts.select("run", "step", F.array(*[f"n{b}" for b in range(5)]).alias("counts"), F.when(~even, F.array(*[F.lit(float(b * b)) for b in range(6)])).alias("bins"),
+                         packed(0.0).alias("low"), packed(20.0).alias("size"), packed(5).alias("count"))
+    last = runlog.last_histogram(rows)
+    cells = last.select("run", "edges", F.posexplode("counts").alias("bin", "n")).where("n > 0")
+    return cells.select("run", F.col("bin").cast("bigint").alias("bin"), "n", F.expr("edges[bin]").alias("low_edge"), F.expr("edges[bin + 1]").alias("high_edge"))
+
+
+@query("a19_artifact_table", """with e as (select *, user_id % 8 as run, event_type || '-' || event_id // 2000 % 3 as artifact from events),
+    f as (select run, arg_min(artifact, event_id) as artifact from e where artifact like 'click%' group by run)
+    select run, artifact, event_id as step, value from e join f using (run, artifact) where event_id % 2 = 1""")
+def a19_table(spark, sf):
+    name = F.concat_ws("-", "metric", F.expr("(step div 2000) % 3").cast("string"))
+    rows = I.run_log(spark, sf).select("run", name.alias("artifact"), F.when(F.col("step") % 2 == 1, "odd").otherwise("even").alias("table_key"), "step", "value")
+    artifacts = rows.groupBy("run", "artifact").agg(F.min("step").alias("logged"))
+    return runlog.artifact_table(artifacts, rows, "click", "odd")
+
+
 @query("a21_fasta_lines", "select '>' || accession || chr(10) || sequence as value from o_seq")
 def a21(spark, sf):
     return readers.fasta_lines(I.sequences(spark, sf), "accession")

@@ -288,3 +288,33 @@ def g4_checks(spark, sf):
 @query("g6_corpus_checks", GROUP_CHECKS)
 def g6_checks(spark, sf):
     return group_checks(g6(spark, sf), I.sequences(spark, sf))
+
+
+pair_views("o_corp", "select 'human' as boundary, pid, case when length > 1022 then null when lang = 'en' then 'r' else 'q' end as role from o_prot")
+define("o_species", "select p.*, h.q is not null as hit from o_prot p left join o_corp_best h on h.q = p.pid where lang <> 'en' and length <= 1022")
+
+
+def corpora(spark, sf):
+    rows = I.sequences(spark, sf).select(F.col("pid").alias("uniprot_id"), "sequence", "length", F.col("lang").alias("species"))
+    return split.species_corpora(rows.where("species <> 'en'"), rows.where("species = 'en'"), IDENTITY, K)
+
+
+@query("g6_species_report", f"""select lang as species, count(*) as n_proteins, count(*) filter (where hit) as n_with_homolog, count(*) filter (where not hit) as n_without_homolog,
+    {r('100e0 * (count(*) filter (where hit)) / count(*)', 2)} as pct_with_homolog, count(*) filter (where length < {K}) as n_too_short, sum(length)::bigint as total_residues from o_species group by lang""")
+def g6_species(spark, sf):
+    return corpora(spark, sf)[1]
+
+
+@query("g6_species_strata", """select lang as species, stratum, sum(length(sequence) - length(replace(sequence, residue, '')))::bigint as n_residues from o_species, o_strata group by lang, stratum""")
+def g6_strata(spark, sf):
+    return corpora(spark, sf)[2]
+
+
+@query("g6_type_split", f"""with h as (select accession, type, count(*) as n from o_traced where type_status <> 'unresolved' group by all), p as (select accession, pid % 5 = 0 as far from o_seq),
+    s as (select type, sum(n)::bigint as sites, coalesce(sum(n) filter (where not far), 0)::bigint as sites_discovery, coalesce(sum(n) filter (where far), 0)::bigint as sites_holdout from h join p using (accession) group by type)
+    select *, {r('sites_holdout::double / sites', 4)} as achieved, {r('abs(sites_holdout::double / sites - 0.2e0)', 4)} as deviation, least(sites_discovery, sites_holdout) >= 50 as both_sides_eligible from s""")
+def g6_types(spark, sf):
+    """The report on a split by id, which SQL can repeat; that of the balanced split has the same columns."""
+    hits = full(spark, sf).traced.where("type_status <> 'unresolved'").groupBy("accession", "type").agg(F.count("*").alias("n"))
+    placed = I.sequences(spark, sf).select("accession", F.when(F.col("pid") % 5 == 0, "holdout").otherwise("discovery").alias("partition"))
+    return split.type_split(placed, hits, 0.2, 50)

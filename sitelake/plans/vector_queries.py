@@ -515,3 +515,23 @@ def h25(spark, sf):
 
     vectors = extract(I.sequences(spark, sf), hashed_kmers(), committed=I.vectors(spark, sf))
     return vectors.groupBy("pid").agg(F.count("vec").alias("n_vectors"))
+
+
+define("o_codes", """select pid, position, ascii(residue) - 64 as own, case prev when '' then 0 else ascii(prev) - 64 end as l, case next when '' then 0 else ascii(next) - 64 end as r from o_ctx""")
+_parts = ("own", "l", "r", "(31 * l + 7 * own + r) % 101")
+
+
+@query("h25_committed_vectors", f"""select pid, count(*) as n_vectors, {', '.join(f"sum(position * ({p}))::bigint as placed_{i}, {r(f'sum({p})::double / count(*)')} as mean_{i}" for i, p in enumerate(_parts))} from o_codes group by pid""")
+def h25_committed(spark, sf):
+    """Vectors of even ids, then of all: two versions, no id twice; each component summed by position, and the stored means."""
+    from sitelake.operators.extraction import extract_into, neighbour_codes
+    from sitelake.operators.vector_store import VectorStore
+    from sitelake.session import ensure_checkpoint_dir
+
+    held = VectorStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/extracted-{uuid.uuid4().hex}", 1 << 20)
+    rows = I.sequences(spark, sf).select("pid", "sequence", "length", I.partition_of(F.col("pid")).alias("partition"))
+    extract_into(held, rows.where("pid % 2 = 0"), neighbour_codes)
+    extract_into(held, rows, neighbour_codes)
+    placed = [F.sum(F.col("position") * F.col("vec")[i].cast("bigint")).alias(f"placed_{i}") for i in range(4)]
+    sums = held.vectors().groupBy("pid").agg(F.count("*").alias("n_vectors"), *placed)
+    return sums.join(held.means().select("pid", *[exprs.rounded(F.col("mean_vec")[i]).alias(f"mean_{i}") for i in range(4)]), "pid")
