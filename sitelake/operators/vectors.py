@@ -50,28 +50,25 @@ def shard_plan(entries: DataFrame, capacity: int, range_size: int = 1_000_000) -
                     used += row.total
             yield pd.DataFrame(begins, columns=["partition", "range", "first_shard", "first_used"])
 
-    def fold(batches):
-        current, shard, used = None, 0, 0
-        for pdf in batches:
-            shards, starts = [], []
-            for part, rng, length, first_shard, first_used in zip(pdf["partition"], pdf["range"], pdf["length"], pdf["first_shard"], pdf["first_used"]):
-                if (part, rng) != current:
-                    current, shard, used = (part, rng), first_shard, first_used
-                if used and used + length > capacity:
-                    shard, used = shard + 1, 0
-                shards.append(shard)
-                starts.append(used)
-                used += length
-            yield pdf.drop(columns=["first_shard", "first_used"]).assign(
-                shard=pd.Series(shards, dtype="int64", index=pdf.index), start_offset=pd.Series(starts, dtype="int64", index=pdf.index))
+    def fold(pdf):
+        pdf = pdf.sort_values("seq")
+        shard, used = int(pdf["first_shard"].iloc[0]), int(pdf["first_used"].iloc[0])
+        shards, starts = [], []
+        for length in pdf["length"].tolist():
+            if used and used + length > capacity:
+                shard, used = shard + 1, 0
+            shards.append(shard)
+            starts.append(used)
+            used += length
+        return pdf.drop(columns=["first_shard", "first_used"]).assign(shard=shards, start_offset=starts)
 
     kinds = dict(c.split() for c in ENTRY.split(", "))
     ranged = entries.withColumn("range", F.floor(F.col("seq") / range_size)).select(*[F.col(c).cast(t) for c, t in kinds.items()])
     many = "before array<bigint>, length array<bigint>, used array<bigint>, closed array<bigint>, total bigint"
     maps = ranged.groupBy("partition", "range").applyInPandas(ends, f"partition string, range bigint, {many}")
     begins = maps.repartition("partition").sortWithinPartitions("partition", "range").mapInPandas(chain, "partition string, range bigint, first_shard bigint, first_used bigint")
-    ordered = ranged.join(begins, ["partition", "range"]).repartition("partition", "range").sortWithinPartitions("partition", "range", "seq")
-    packed = ordered.mapInPandas(fold, f"{ENTRY}, shard bigint, start_offset bigint")
+    # A grouping, and no repartition before a map: the planner may drop that one and deal a range to several tasks.
+    packed = ranged.join(begins, ["partition", "range"]).groupBy("partition", "range").applyInPandas(fold, f"{ENTRY}, shard bigint, start_offset bigint")
     return packed.drop("range").withColumn("end_offset", F.col("start_offset") + F.col("length"))
 
 

@@ -195,6 +195,21 @@ def test_shard_plan_does_not_depend_on_its_ranges(spark):
             assert sorted((r["id"], r["shard"], r["start_offset"]) for r in got if r["partition"] == p) == want
 
 
+def test_shard_plan_keeps_a_range_together_however_its_rows_arrive(spark):
+    """Enough rows from enough tasks that a join which turns into a broadcast reads them by the task they come from."""
+    rows = spark.range(0, 400_000, 1, 20).selectExpr("if(id % 10 < 7, 'a', 'b') as partition", "id as seq", "id", "id * 37 % 11 + 1 as length")
+    got = vectors.shard_plan(rows, 25).toPandas().sort_values(["partition", "seq"])
+    assert len(got) == 400_000
+    current, shard, used = None, 0, 0
+    for partition, length, *place in got[["partition", "length", "shard", "start_offset"]].itertuples(index=False):
+        if partition != current:
+            current, shard, used = partition, 0, 0
+        if used and used + length > 25:
+            shard, used = shard + 1, 0
+        assert place == [shard, used]
+        used += length
+
+
 def test_vector_and_shard_rules(spark, tmp_path):
     rows = spark.createDataFrame([("t", i, i, n) for i, n in enumerate([3, 2, 4, 10, 1])], "partition string, seq long, id long, length long")
     got = {r["id"]: (r["shard"], r["start_offset"], r["end_offset"]) for r in vectors.shard_plan(rows, 5).collect()}
