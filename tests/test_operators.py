@@ -57,6 +57,29 @@ def test_matching_pairs_is_complete(spark, texts):
     assert got == {(a, b) for a in odd for b in odd if matches(texts[a], texts[b])}
 
 
+@pytest.mark.parametrize("across", [True, False])
+def test_shared_shingles_leave_out_what_one_side_alone_holds(spark, texts, across, monkeypatch):
+    """By definition, over several slices; shingles that can't count towards a pair are no rows."""
+    monkeypatch.setattr(similarity, "SLICE", 300)
+    asks = lambda i: across and i % 4 == 1
+    first = {}
+    for i in sorted(texts):
+        first.setdefault((texts[i], asks(i)), i)
+    rows = [(i, text, len(text), ask) for (text, ask), i in first.items()]
+    got = similarity.shared_shingles(spark.createDataFrame(rows, "id long, sequence string, length long, asks boolean"), K, across).collect()
+    holders = {}
+    for i, text, _, ask in rows:
+        for gram in grams(text):
+            holders.setdefault(gram, []).append((i, ask))
+    want = []
+    for held in holders.values():
+        refs = [i for i, ask in held if not ask]
+        if len(held) > 1 and refs and (not across or len(refs) < len(held)):
+            want += [(i, ask, len(grams(texts[i])), len(refs), min(refs)) for i, ask in held]
+    assert sorted((r["id"], r["asks"], r["n"], r["df"], r["low"]) for r in got) == sorted(want)
+    assert len({r["s"] for r in got}) < len(holders)
+
+
 def test_similarity_clusters_are_components(spark, texts):
     rows = spark.createDataFrame(list(texts.items()), "id long, sequence string")
     got = {r["id"]: r["cluster_id"] for r in clustering.similarity_clusters(rows, 0.4, K).collect()}
