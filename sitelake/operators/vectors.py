@@ -166,6 +166,13 @@ def needed_shards(index: DataFrame, wanted: DataFrame) -> DataFrame:
     return index.join(wanted.select("id"), "id", "left_semi").select("partition", "shard").distinct()
 
 
+def reached(sequences: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The head of each sequence (pid, sequence, ...) that its vectors reach; sequences without vectors fall away. Letters
+    beyond it have no vector, so they needn't be rows."""
+    most = vectors.groupBy("pid").agg(F.max("position").cast("int").alias("most"))
+    return sequences.join(most, "pid").withColumn("sequence", F.expr("left(sequence, most)")).drop("most")
+
+
 def aligned(vectors: DataFrame, residues: DataFrame) -> DataFrame:
     """Vectors with their residue: positions without a counterpart fall away (the shorter side decides)."""
     return vectors.join(residues, ["pid", "position"])

@@ -218,9 +218,13 @@ define("o_tc", "select t.*, c.latent from o_top c join o_tier t on c.pid = t.pid
 define("o_ta", "select t.* from o_vec v join o_tier t on v.pid = t.pid and v.position = t.position")
 
 
+def held_residues(spark, sf, keep):
+    return I.explode_residues(V.reached(I.sequences(spark, sf), I.vectors(spark, sf)), keep)
+
+
 def tiers_with_codes(spark, sf):
     held = I.vectors(spark, sf).select("pid", "position")
-    residues = I.explode_residues(I.sequences(spark, sf), ["pid", "accession"]).join(held, ["pid", "position"])
+    residues = held_residues(spark, sf, ["pid", "accession"]).join(held, ["pid", "position"])
     return top_codes(spark, sf), tiers(spark, sf, residues)
 
 
@@ -361,12 +365,12 @@ def d27(spark, sf):
 
 @query("c12_vectors_with_residues", "select v.pid, v.position, l.residue, v.label from o_vec v join o_letters l on v.pid = l.pid and v.position = l.position")
 def c12(spark, sf):
-    return V.aligned(I.vectors(spark, sf), I.explode_residues(I.sequences(spark, sf), ["pid"])).select("pid", "position", "residue", "label")
+    return V.aligned(I.vectors(spark, sf), held_residues(spark, sf, ["pid"])).select("pid", "position", "residue", "label")
 
 
 @query("b16_length_guard", """select p.pid, least(count(v.position), any_value(p.length)) as n_used from o_prot p join o_vec v on v.pid = p.pid group by p.pid""")
 def b16(spark, sf):
-    rows = V.aligned(I.vectors(spark, sf), I.explode_residues(I.sequences(spark, sf), ["pid"]))
+    rows = V.aligned(I.vectors(spark, sf), held_residues(spark, sf, ["pid"]))
     return rows.groupBy("pid").agg(F.count("*").alias("n_used"))
 
 

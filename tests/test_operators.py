@@ -233,6 +233,12 @@ def test_shard_plan_keeps_a_range_together_however_its_rows_arrive(spark):
         used += length
 
 
+def test_only_the_reached_head_of_a_sequence_is_kept(spark):
+    sequences = spark.createDataFrame([(1, "ABCDEF"), (2, "GH"), (3, "K" * 1000)], "pid long, sequence string")
+    held = spark.createDataFrame([(1, 3), (1, 1), (2, 1), (2, 5), (4, 1)], "pid long, position long")
+    assert {tuple(r) for r in vectors.reached(sequences, held).collect()} == {(1, "ABC"), (2, "GH")}
+
+
 def test_vector_and_shard_rules(spark, tmp_path):
     rows = spark.createDataFrame([("t", i, i, n) for i, n in enumerate([3, 2, 4, 10, 1])], "partition string, seq long, id long, length long")
     got = {r["id"]: (r["shard"], r["start_offset"], r["end_offset"]) for r in vectors.shard_plan(rows, 5).collect()}
