@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelake.operators.vector_store import VectorStore
-from sitelake.session import cut_lineage
+from sitelake.session import stored
 
 Model = Callable[[list[str]], list[np.ndarray]]
 
@@ -70,5 +70,5 @@ def extract_into(store: VectorStore, proteins: DataFrame, model: Model, rows_per
     or None if it holds them all. The model runs once per new id: its rows are written before they are laid out in shards and
     averaged. A run that fails before the commit leaves the store as it was."""
     held = store.index().select(F.col("id").alias("pid"))
-    rows = cut_lineage(extract(proteins, model, held, rows_per_batch))
+    rows = stored(extract(proteins, model, held, rows_per_batch), "extracted")
     return store.commit(proteins.select("partition", F.col("pid").alias("seq"), F.col("pid").alias("id"), "length"), rows)

@@ -47,6 +47,19 @@ def test_failure_before_the_commit_leaves_the_store(spark, tmp_path):
     assert extract_into(store, proteins(spark, {1: "ABC"}), model) == 1 and store.vectors().count() == 3
 
 
+def test_extracted_rows_are_held_in_few_bytes(spark, tmp_path):
+    """All that an extraction leaves beside the store, by letter."""
+    from pathlib import Path
+
+    from sitelake.session import ensure_checkpoint_dir
+
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    used = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before, letters = used(), "ACDEFGHIKL" * 20_000
+    assert extract_into(VectorStore(spark, str(tmp_path / "held"), 1 << 20), proteins(spark, {1: letters}), neighbour_codes) == 1
+    assert (used() - before) / len(letters) < 14
+
+
 def test_batch_out_of_memory_is_repeated_by_sequence(spark):
     def model(sequences):
         if len(sequences) > 1:
