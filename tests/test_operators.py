@@ -336,3 +336,23 @@ def test_source_rank_without_a_bit_fails(spark):
     rows = spark.createDataFrame([(1,), (65,)], "source_rank long")
     with pt.raises(Exception, match="source rank out of 0..62"):
         rows.agg(sites.source_bits()).collect()
+
+
+def shuffled_rows(spark, job):
+    """The rows that the stages of a job write to shuffles, and what the job returns."""
+    def stages():
+        store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+    before = stages()
+    out = job()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for i, n in stages().items() if i not in before), out
+
+
+def test_a_pair_of_sets_costs_its_ids(spark):
+    """Sixty sets that share 300 of their 500 shingles: 3,600 pairs, whose shingles were 1.8 million rows."""
+    rows = spark.range(60).selectExpr("id", "explode(sequence(0, 499)) as i").selectExpr("id", "if(i < 300, i, id * 1000 + i) as s", "500L as n")
+    written, got = shuffled_rows(spark, lambda: similarity.matching_pairs(rows, rows, 0.4).collect())
+    assert {(r["query"], r["reference"], r["shared"]) for r in got} == {(a, b, 500 if a == b else 300) for a in range(60) for b in range(60)}
+    assert written < 900_000
