@@ -147,3 +147,22 @@ def test_text_before_the_first_header_is_dropped(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert rows == {"P1": "ACDE", "P2": "MK", "P3": "GG"} | {f"q{i}": "ACDEFGHIKL" for i in range(400)}
+
+
+def test_letters_become_rows_only_where_a_motif_may_fit(spark, tmp_path):
+    """Odd texts: null, none, letters of other alphabets, doc borders; neighbours as an exploded text gives them."""
+    import re
+
+    from sitelake.plans import inputs as I
+
+    texts = [None, "", "12 3", "aé中BzK", "NESE OSE", "O", "ſteE ÀA", "OSHOTEiNeae", " E" * 5, "ONE" * 400]
+    rows = spark.createDataFrame([(i, t, "x", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    clean = {i: s for i, t in enumerate(texts) if t and (s := re.sub("[^A-Za-z]", "", t).upper())}
+    assert {r["pid"]: (r["sequence"], r["length"]) for r in I.sequences(spark, str(tmp_path)).collect()} == {i: (s, len(s)) for i, s in clean.items()}
+    around = lambda s, i: (s[i - 1] if i else "", s[i], s[i + 1] if i + 1 < len(s) else "")
+    fits = lambda p, r, n: n == "E" and p != "" and p in "AINO" or p == "O" and r in "ST" and n != "" and n in "EH"
+    want = sorted((i, k + 1, *around(s, k)) for i, s in clean.items() for k in range(len(s)) if fits(*around(s, k)))
+    got = I.contexts(spark, str(tmp_path), I.near_motif)
+    assert sorted((r["pid"], r["position"], r["prev"], r["residue"], r["next"]) for r in got.collect()) == want
+    assert want and all(r["length"] == len(clean[r["pid"]]) and r["accession"] == f"P{r['pid']}" for r in got.collect())
