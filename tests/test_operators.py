@@ -110,6 +110,45 @@ def test_representatives_equal_sequential_greedy(spark, texts):
     assert got == {i: want[t] for i, t in texts.items()}
 
 
+def sequential(texts):
+    firsts, reps, want = {}, [], {}
+    for i, t in sorted(texts.items()):
+        firsts.setdefault(t, i)
+    for t, i in sorted(firsts.items(), key=lambda kv: (-len(kv[0]), kv[1])):
+        hit = next((r for r in reps if matches(t, texts[r])), None)
+        if hit is None:
+            reps.append(i)
+        want[t] = i if hit is None else hit
+    return {i: want[t] for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("direct", [0, 1e9])
+def test_representatives_in_rounds_and_at_once(spark, texts, direct):
+    """Families in families, with texts of few different shingles among them, so that a longer text is often the smaller set."""
+    rnd = random.Random(11)
+    rows = dict(texts)
+    for i in range(1000, 1060):
+        own, source = "".join(rnd.choice("ACDE") for _ in range(rnd.randrange(5, 60))), rnd.choice(sorted(rows.values()))
+        rows[i] = rnd.choice([own + source[rnd.randrange(40):][:rnd.randrange(20, 120)], source[:30] * rnd.randrange(1, 9) + own])
+    frame = spark.createDataFrame(list(rows.items()), "id long, sequence string")
+    got = {r["id"]: r["representative"] for r in clustering.representative_clusters(frame, 0.4, K, direct).collect()}
+    assert got == sequential(rows)
+
+
+def test_sequences_wait_only_for_those_they_could_match(spark, monkeypatch):
+    """Texts in a row, each of which shares some shingles with the two before it and the two behind it, too few for a match: they don't wait for each other one by one."""
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    shared = {(i, j): word(K + 12) for i in range(-2, 16) for j in (i + 1, i + 2)}
+    texts = {i: "".join(t for pair, t in shared.items() if i in pair) + word(30 - i) for i in range(16)}
+    calls = []
+    monkeypatch.setattr(clustering, "marked_joins", lambda *a: calls.append(a) or similarity.marked_joins(*a))
+    rows = spark.createDataFrame(list(texts.items()), "id long, sequence string")
+    got = {r["id"]: r["representative"] for r in clustering.representative_clusters(rows, 0.4, K).collect()}
+    assert got == sequential(texts) == {i: i for i in texts}
+    assert len(calls) <= 2
+
+
 def test_merge_clusters_is_transitive(spark):
     members = spark.createDataFrame([("a", 5), ("b", 9), ("c", 12), ("d", 3)], "uniprot_id string, cluster_id long")
     pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "reference_id string, query_id string")
