@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -163,6 +164,37 @@ def test_components_long_chain_and_hub(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(50))
 
 
+def test_written_frames_leave_no_shuffle_files(spark):
+    from sitelake.session import cut_lineage, dropped_tables, stored
+
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(",").count("shuffle_")
+    before = files()
+    rows = spark.range(100_000).groupBy(F.xxhash64("id").alias("key")).agg(F.count("*").alias("n"))
+    with dropped_tables(spark):
+        held = stored(rows, "rows")
+        kept = cut_lineage(held.repartition(4, "key"))
+    for _ in range(50):
+        if files() > before:
+            time.sleep(0.1)  # files go in the background
+    assert files() <= before
+    assert kept.count() == 100_000
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        held.select("n").collect()
+
+
+def test_split_reads_its_inputs_once(spark):
+    from sitelake.plans import split
+
+    proteins, sites = corpus(spark, n=60)
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda text: read.add(1) or text, "string").asNondeterministic()
+    plan = balance.SplitPlan(min_sites=(0, 0, 0), token_tolerance=0.5, audit_passes=1)
+    n = proteins.count()
+    result = split.assign_partitions(proteins.withColumn("sequence", seen("sequence")), sites, plan, 0.4, K + 8)
+    assert result.corpus.count() == n
+    assert read.value == n
+
+
 def corpus(spark, n=300, seed=3):
     rnd = random.Random(seed)
     proteins, found, pid = [], [], 0
