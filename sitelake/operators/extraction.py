@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +56,41 @@ def extract(proteins: DataFrame, model: Model, committed: DataFrame | None = Non
             return [model([sequence])[0] for sequence in sequences]
 
     def run(batches):
-        for pdf in batches:
-            for pid, matrix in zip(pdf["pid"], vectors_of(pdf["sequence"].tolist())):
-                for start in range(0, len(matrix), rows_per_batch):
-                    part = matrix[start:start + rows_per_batch]
-                    yield pd.DataFrame({"pid": pid, "position": np.arange(start + 1, start + len(part) + 1), "vec": list(part)})
-
-    return todo.mapInPandas(run, "pid bigint, position bigint, vec array<float>")
+        for batch in batches:
+            pids, sequences = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            yield from vector_batches(pids, vectors_of(sequences), rows_per_batch)
+
+    return todo.select(F.col("pid").cast("bigint"), "sequence").mapInArrow(run, "pid bigint, position bigint, vec array<float>")
+
+
+NUMBERS = 4_000_000  # that a batch holds, at most about
+
+
+def vector_batches(pids: list, matrices: list[np.ndarray], rows_per_batch: int) -> Iterator[pa.RecordBatch]:
+    """(pid, position, vec) of many ids in batches of ``rows_per_batch`` rows at most: short sequences share a batch, a long one is cut. The numbers go out as
+    one array, not as an object per row."""
+    held, size = [], 0
+
+    def sent():
+        numbers = np.concatenate([part for _, _, part in held]).astype("float32", copy=False)
+        sizes = np.array([len(part) for _, _, part in held])
+        pid = pa.array([pid for pid, _, _ in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+        position = np.concatenate([np.arange(start + 1, start + len(part) + 1) for _, start, part in held])
+        ends = np.arange(0, numbers.size + 1, numbers.shape[1], dtype="int32")
+        vec = pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers.ravel()))
+        return pa.RecordBatch.from_arrays([pid, pa.array(position), vec], names=["pid", "position", "vec"])
+
+    for pid, matrix in zip(pids, matrices):
+        start, most = 0, max(1, min(rows_per_batch, NUMBERS // max(1, matrix.shape[-1])))
+        while start < len(matrix):
+            part = matrix[start:start + max(1, most - size)]
+            held.append((pid, start, part))
+            start, size = start + len(part), size + len(part)
+            if size >= most:
+                yield sent()
+                held, size = [], 0
+    if held:
+        yield sent()
 
 
 def extract_into(store: VectorStore, proteins: DataFrame, model: Model, rows_per_batch: int = 50_000) -> int | None:

@@ -33,6 +33,19 @@ def test_vectors_and_means_of_new_ids_only(spark, tmp_path):
     assert all(np.allclose(means[i], neighbour_codes([s])[0].mean(axis=0)) for i, s in ((1, "ABC"), (2, "ZZ"), (3, "QRSTUVW"))) and len(means) == 3
 
 
+def test_short_sequences_share_batches_and_long_ones_are_cut(spark):
+    from sitelake.operators.extraction import vector_batches
+
+    matrices = [np.arange(6, dtype="float32").reshape(3, 2)] * 400 + [np.arange(200, dtype="float32").reshape(100, 2)]
+    batches = list(vector_batches([*range(400), None], matrices, 50))
+    assert [b.num_rows for b in batches] == [50] * 26  # one of at most three rows per sequence before
+    rows = [r for b in batches for r in b.to_pylist()]
+    want = [(i if i < 400 else None, p + 1, m[p].tolist()) for i, m in enumerate(matrices) for p in range(len(m))]
+    assert [(r["pid"], r["position"], r["vec"]) for r in rows] == want
+    got = extract(proteins(spark, {i: "ABCDEF" for i in range(300)}), neighbour_codes, rows_per_batch=70)
+    assert got.count() == 1800 and got.select("pid", "position").distinct().count() == 1800
+
+
 def test_failure_before_the_commit_leaves_the_store(spark, tmp_path):
     store = VectorStore(spark, str(tmp_path / "store"), 10)
 
