@@ -195,6 +195,27 @@ def test_split_reads_its_inputs_once(spark):
     assert read.value == n
 
 
+def test_audits_go_on_until_the_target(spark):
+    from sitelake.plans import split, split_queries
+
+    assert split_queries.TEXT_PLAN == balance.SplitPlan(audit_passes=None)
+    proteins, sites = corpus(spark, n=60)
+    first = proteins.where("uniprot_id = 0").first()["sequence"]
+    copies = proteins.withColumn("sequence", F.when(F.col("cluster_id") % 30 == 0, F.lit(first)).otherwise(F.col("sequence"))).withColumn("length", F.length("sequence").cast("bigint"))
+    plan = balance.SplitPlan(min_sites=(0, 0, 0), token_tolerance=0.5, audit_passes=None, leak_target=0.0)
+    result = split.assign_partitions(copies, sites, plan, 0.4, K + 8)
+    assert result.audit[-1]["within_target"]
+    assert result.corpus.where(F.col("sequence") == first).select("partition").distinct().count() == 1
+
+
+def test_moves_of_a_round_are_no_sql_text(spark, monkeypatch):
+    plan = balance.SplitPlan(min_type_sites=50, min_sites=(0, 50, 100), token_tolerance=0.03)
+    features = balance.cluster_features(*corpus(spark), plan)
+    monkeypatch.setattr(balance.dims, "inline_frame", lambda *_: pytest.fail("a literal per move"))
+    start = balance.seed_partition(features, plan).withColumn("code", F.lit(0))
+    assert balance.polish(features, start, plan).select("code").distinct().count() == 3
+
+
 def corpus(spark, n=300, seed=3):
     rnd = random.Random(seed)
     proteins, found, pid = [], [], 0
