@@ -23,3 +23,11 @@ def test_plan_equals_sql(spark, con, name):
 
 def test_oracles_belong_to_plans():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_replication_rows_are_read_once(spark, tmp_path):
+    rows = [(i, "SONEASEINEKOSEH AKEINE TOHOSE " * 20, "web", "en") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = entry.queries()["g7_replication_labels"](spark, str(tmp_path))
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # the texts' sites are in tables by then
+    assert out.count() > 0
