@@ -216,6 +216,31 @@ def test_moves_of_a_round_are_no_sql_text(spark, monkeypatch):
     assert balance.polish(features, start, plan).select("code").distinct().count() == 3
 
 
+def test_parts_of_the_hashes_make_the_same_sets(spark):
+    rnd = random.Random(5)
+    pool = ["".join(rnd.choice("ACDE") for _ in range(300)) for _ in range(8)]
+    rows = [(i, text[i:], len(text) - i, i % 3 == 0) for i, text in enumerate(pool * 4)]
+    sides = spark.createDataFrame(rows, "id long, sequence string, length long, asks boolean")
+    sets = lambda parts: {tuple(map(str, r)) for r in similarity.shared_sets(sides, K, True, "asks", parts=parts).select("id", "asks", "n", "m", "held").collect()}
+    assert len(sets(1)) == len(rows) and sets(1) == sets(4) == sets(5)
+
+
+def test_searches_leave_no_tables(spark):
+    from pathlib import Path
+
+    from sitelake.operators import clustering
+    from sitelake.session import ensure_checkpoint_dir
+
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    tables = lambda: {f for name in ("sequences", "shingles", "part", "pairs", "settled", "marked", "mixed") for f in folder.glob(f"{name}-*")}
+    before = tables()
+    rows = spark.createDataFrame([(i, ("ACDEFGHIKLMNPQRSTVWY" * 5)[i % 7:]) for i in range(30)], "id long, sequence string")
+    assert similarity.best_matches(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 0.4, K).count() == 15
+    assert clustering.similarity_clusters(rows, 0.4, K).select("cluster_id").distinct().count() == 1
+    assert clustering.representative_clusters(rows, 0.4, K).select("representative").distinct().count() == 1
+    assert tables() == before
+
+
 def corpus(spark, n=300, seed=3):
     rnd = random.Random(seed)
     proteins, found, pid = [], [], 0
